@@ -1,0 +1,46 @@
+"""Joining rows to a per-key table when single keys may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+#: A key is hot when it holds more than 1 / SHARE of all rows, so there are fewer than SHARE hot keys
+#: whatever the data: that is the bound on what gets broadcast and on the copies made for salting.
+SHARE = 10_000
+#: Keys below this many rows are never worth splitting.
+FLOOR = 100_000
+
+
+def _splits(weight: Column, total: Column, share: int, floor: int) -> Column:
+    hot = (weight > floor) & (weight * share > total)
+    return F.when(hot, F.ceil(weight * share / total).cast("int")).otherwise(F.lit(1))
+
+
+def salted_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    weight: str,
+    spread: Sequence[str],
+    how: str = "inner",
+    share: int = SHARE,
+    floor: int = FLOOR,
+) -> DataFrame:
+    """Join ``rows`` to ``table``, whose keys are unique and whose ``weight`` counts rows per key.
+
+    Rows of a hot key are split over several salts by a hash of their ``spread`` columns, and the one
+    table row of that key is copied once per salt. All other keys join as they are.
+    """
+    on = list(on)
+    total = table.agg(F.sum(weight)).scalar()
+    table = table.withColumn("_splits", _splits(F.col(weight), total, share, floor))
+    hot = F.broadcast(table.filter("_splits > 1").select(*on, F.col("_splits").alias("_parts")))
+    salted = (
+        rows.join(hot, on, "left")
+        .withColumn("_salt", F.pmod(F.hash(*spread), F.coalesce("_parts", F.lit(1))))
+        .drop("_parts")
+    )
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)))
+    return salted.join(copies.drop("_splits"), [*on, "_salt"], how).drop("_salt")
