@@ -68,17 +68,25 @@ def edit_characters(a: Column, b: Column) -> Column:
     return F.coalesce(1 - F.try_divide(F.levenshtein(a, b), longest), F.lit(1.0)).cast("double")
 
 
+def edit_ceiling(a: Column, b: Column) -> Column:
+    """What ``edit_tokens`` can reach at most, from sizes and overlap alone."""
+    spared = F.greatest(F.size(a), F.size(b)) - F.size(F.array_intersect(a, b))
+    return F.coalesce(1 - F.try_divide(spared, F.size(a) + F.size(b)), F.lit(0.0)).cast("double")
+
+
 @dataclass(frozen=True)
 class Measure:
     """A set similarity with what a join needs to know about it.
 
     ``jaccard_floor(t)`` is a Jaccard value that every pair scoring at least ``t`` reaches.
-    ``miss`` is the score of two different one-item sets.
+    ``miss`` is the score of two different one-item sets. ``ceiling`` is a cheap upper bound of a
+    costly score.
     """
 
     score: Callable[[Column, Column], Column]
     jaccard_floor: Callable[[float], float]
     miss: float = 0.0
+    ceiling: Callable[[Column, Column], Column] | None = None
 
 
 #: Set similarities by name.
@@ -89,6 +97,6 @@ class Measure:
 MEASURES = {
     "jaccard": Measure(jaccard, lambda t: t),
     "dice": Measure(dice, lambda t: t / (2 - t)),
-    "edit": Measure(edit_tokens, lambda t: (2 * t - 1) / (3 - 2 * t), miss=0.5),
+    "edit": Measure(edit_tokens, lambda t: (2 * t - 1) / (3 - 2 * t), 0.5, edit_ceiling),
     "exact": Measure(exact_sets, lambda t: 1.0 if t > 0 else 0.0),
 }

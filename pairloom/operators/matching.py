@@ -49,8 +49,11 @@ def matched_keys(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFr
 
 
 def match_equal(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Records whose key occurs on both sides: (key…, side, index), without duplicates."""
-    tagged = both_sides(left, right, [*on, "index"])
+    """Records whose key occurs on both sides: (key…, side, index), without duplicates.
+
+    The texts behind the keys are read once: counting and selecting work on the written keys.
+    """
+    tagged = write_through(both_sides(left, right, [*on, "index"]))
     keys = side_counts(tagged, on).filter("n1 > 0 AND n2 > 0")
     keys = keys.select(*on, (F.col("n1") + F.col("n2")).alias("n"))
     return salted_join(tagged, keys, on, weight="n", spread=["index"], how="left_semi").distinct()
@@ -91,8 +94,10 @@ def value_classes(left: DataFrame, right: DataFrame, columns: Sequence[str]) ->
 
 def class_members(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(side, rep, index): the class of every record, named by its smallest id on that side."""
-    tagged = both_sides(left, right, ["index", *columns]).select(
-        "side", "index", class_key(columns).alias("class")
+    tagged = write_through(
+        both_sides(left, right, ["index", *columns]).select(
+            "side", "index", class_key(columns).alias("class")
+        )
     )
     reps = tagged.groupBy("side", "class").agg(
         F.min("index").alias("rep"), F.count(F.lit(1)).alias("n")
@@ -166,12 +171,14 @@ def similar_records(
     columns = [*block, *(c for c in (*texts, *single) if c not in block)]
     classes = value_classes(left, right, columns)
     # Read many times below, so it is computed and written once.
-    sets = write_through(classes.select(
-        "class", "rep1", "rep2", "n1", "n2",
-        *block,
-        *[c for c in single if c not in block],
-        *[as_set(F.col(c)).alias(f"set_{c}") for c in texts],
-    ))
+    sets = write_through(
+        classes.select(
+            "class", "rep1", "rep2", "n1", "n2",
+            *block,
+            *[c for c in single if c not in block],
+            *[as_set(F.col(c)).alias(f"set_{c}") for c in texts],
+        )
+    )
     ones = sets.filter("n1 > 0").withColumnRenamed("class", "id")
     twos = sets.filter("n2 > 0").withColumnRenamed("class", "id")
 
@@ -198,17 +205,21 @@ def similar_records(
         *[F.col(f"set_{c}").alias(f"b_{c}") for c in texts],
         *[F.col(c).alias(f"b_{c}") for c in single],
     )
-    scores = {c: kind.score(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in texts}
-    scores |= {
-        c: F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), 1.0).otherwise(kind.miss) for c in single
-    }
-    sim = mean_score([scores[c] for c in (order or [*texts, *single])])
-    return (
-        candidates.join(ones, "id1")
-        .join(twos, "id2")
-        .select(*block, "rep1", "rep2", "n1", "n2", sim.alias("sim"))
-        .filter(passes(F.col("sim"), threshold, strict))
-    )
+    summed = list(order or [*texts, *single])
+
+    def mean(score) -> Column:
+        parts = {c: score(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in texts}
+        for c in single:
+            equal = F.col(f"a_{c}") == F.col(f"b_{c}")
+            parts[c] = F.when(equal, 1.0).otherwise(kind.miss)
+        return mean_score([parts[c] for c in summed])
+
+    pairs = candidates.join(ones, "id1").join(twos, "id2")
+    if kind.ceiling is not None:
+        pairs = pairs.filter(mean(kind.ceiling) >= threshold - EPSILON)
+    return pairs.select(
+        *block, "rep1", "rep2", "n1", "n2", mean(kind.score).alias("sim")
+    ).filter(passes(F.col("sim"), threshold, strict))
 
 
 def equal_records(

@@ -19,7 +19,7 @@ from pairloom.operators.skew import salted_join
 #: Slack for rounding: a filter may keep too much but never drop a true pair.
 EPSILON = 1e-9
 #: Tokens carried by more sets than this are matched together with a second token.
-HOT_TOKEN = 2_000
+HOT_TOKEN = 200
 
 
 def candidate_pairs(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: A key is hot when it holds more than 1 / SHARE of all rows, so there are fewer than SHARE hot keys
 #: whatever the data: that is the bound on what gets broadcast and on the copies made for salting.
@@ -13,11 +13,6 @@ SHARE = 10_000
 FLOOR = 100_000
 
 
-def _splits(weight: Column, total: Column, share: int, floor: int) -> Column:
-    hot = (weight > floor) & (weight * share > total)
-    return F.when(hot, F.ceil(weight * share / total).cast("int")).otherwise(F.lit(1))
-
-
 def salted_join(
     rows: DataFrame,
     table: DataFrame,
@@ -35,7 +30,8 @@ def salted_join(
     """
     on = list(on)
     total = table.agg(F.sum(weight)).scalar()
-    table = table.withColumn("_splits", _splits(F.col(weight), total, share, floor))
+    parts = F.ceil(F.col(weight) * share / total).cast("int")
+    table = table.withColumn("_splits", F.when(F.col(weight) > floor, parts).otherwise(1))
     hot = F.broadcast(table.filter("_splits > 1").select(*on, F.col("_splits").alias("_parts")))
     salted = (
         rows.join(hot, on, "left")

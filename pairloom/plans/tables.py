@@ -16,10 +16,27 @@ LANGUAGES = ("en", "de")
 BRANDS = ("Brand#1", "Brand#2")
 
 
+#: A table below this many bytes on disk may well sit in a single row group.
+SMALL = 1 << 28
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{table}.parquet"))
 
 
+def read_text(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """A table with long texts, shared out over all cores.
+
+    One row group is read by one task, which would then do all the text work of a small table. A large
+    table has row groups enough, so it is left as it is.
+    """
+    df = read(spark, folder, table)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < SMALL:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def document_records(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as records, with the collection they come from.
 
@@ -27,7 +44,7 @@ def document_records(spark: SparkSession, folder: str) -> DataFrame:
     of the length, so that copies agree. Venue: the language.
     """
     names = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}*"), F.lit(0)))
-    return read(spark, folder, "documents").select(
+    return read_text(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("index"),
         F.col("text").alias("paper_title"),
         F.array_join(names, " ").alias("author_names"),
@@ -75,7 +92,7 @@ def page_records(spark: SparkSession, folder: str) -> DataFrame:
         return F.regexp_extract(column, pattern, 1)
 
     host = F.translate(found("^https?://([^/:]+)", "url"), ".", " ")
-    return read(spark, folder, "pages").select(
+    return read_text(spark, folder, "pages").select(
         F.nullif(found("<title>([^<]*)</title>", "html"), F.lit("")).alias("paper_title"),
         F.when(~host.startswith("www "), host).alias("author_names"),
         found("/([0-9]+)(?:$|[?#])", "url").alias("year"),

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written through and not yet released.
+_written: list[str] = []
+
 
 def local_session(cores: str = "8", name: str = "pairloom") -> SparkSession:
     """A small session for tests and the bench; on a cluster the caller brings its own."""
@@ -44,8 +47,19 @@ def shared_folder(spark: SparkSession) -> str:
 def write_through(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    The result has no lineage, is computed once and survives the loss of any executor.
+    The result has no lineage, is computed once and survives the loss of any executor. Call
+    ``release`` once the results that build on it have been consumed.
     """
     path = os.path.join(shared_folder(df.sparkSession), f"pairloom-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this process has written through."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
