@@ -186,7 +186,7 @@ ORACLE["parse_citations"] = rf"""WITH {DOCS} SELECT * EXCLUDE (side) REPLACE (
   trim(regexp_replace(paper_title, '\s+', ' ', 'g')) AS paper_title, year::varchar AS year) FROM docs"""
 
 
-def _prepared(title_case=lambda x: x) -> str:
+def _prepared() -> str:
     def cleaned(c):
         return normalise(f"regexp_replace({c}, '{PUNCT}', '', 'g')")
 
@@ -334,28 +334,55 @@ def classes(table: str, *columns: str) -> str:
       count(*) FILTER (side = 'b') AS n2 FROM {table} GROUP BY ALL)"""
 
 
+def numbered(table: str, columns: tuple[str, ...], views: dict[str, str]) -> str:
+    """CTE ``sets``: the classes with an id and one token set per entry of ``views``."""
+    made = ", ".join(f"{view} AS {name}" for name, view in views.items())
+    return f"""{classes(table, *columns)},
+      sets AS MATERIALIZED (SELECT row_number() OVER () AS id, *, {made} FROM classes)"""
+
+
+def overlaps(name: str, column: str) -> str:
+    """CTE with the size of the overlap of every pair of sets that share anything."""
+
+    def unnested(count: str) -> str:
+        return f"(SELECT id, unnest({column}) AS w FROM sets WHERE {count} > 0)"
+
+    return f"""{name} AS MATERIALIZED (SELECT x.id AS i, y.id AS j, count(*) AS o
+      FROM {unnested('n1')} x JOIN {unnested('n2')} y USING (w) GROUP BY ALL)"""
+
+
 def title_pairs(name: str, threshold: float, score=jaccard, view=tokens, source=TITLES, table="titles"):
-    """CTEs that end in ``name``: class pairs on the title, every pair compared."""
-    return f"""{source}, {classes(table, 'paper_title')},
-      sets AS MATERIALIZED (SELECT *, {view('paper_title')} AS s FROM classes),
-      scored AS (SELECT x.rep1, y.rep2, x.n1, y.n2, {score('x.s', 'y.s')} AS sim FROM sets x, sets y
-        WHERE x.n1 > 0 AND y.n2 > 0),
+    """CTEs that end in ``name``: class pairs on the title. Pairs that share nothing score 0."""
+    sim = {
+        jaccard: "o / (len(x.s) + len(y.s) - o)",
+        dice: "2 * o / (len(x.s) + len(y.s))",
+        edit: edit("x.s", "y.s"),
+    }[score]
+    pairs = "sets x, sets y WHERE x.n1 > 0 AND y.n2 > 0"
+    if score is not edit:
+        pairs = "ov JOIN sets x ON x.id = i JOIN sets y ON y.id = j"
+    return f"""{source}, {numbered(table, ('paper_title',), {'s': view('paper_title')})},
+      {overlaps('ov', 's')},
+      scored AS (SELECT x.rep1, y.rep2, x.n1, y.n2, {sim} AS sim FROM {pairs}),
       {name} AS MATERIALIZED (SELECT * FROM scored WHERE sim >= {threshold})"""
 
 
 def baseline(name: str, threshold: float) -> str:
     score = " + ".join(
-        [jaccard(f"x.s_{c}", f"y.s_{c}") for c in TEXTS]
+        [
+            f"coalesce({c}.o / (len(x.s_{c}) + len(y.s_{c}) - {c}.o), 0.0)" for c in TEXTS
+        ]
         + [f"(x.{c} = y.{c})::int" for c in ("year", "publication_venue")]
     )
+    joins = " ".join(f"LEFT JOIN ov_{c} {c} ON {c}.i = x.id AND {c}.j = y.id" for c in TEXTS)
     return f"""{name} AS MATERIALIZED (SELECT * FROM (
-      SELECT x.rep1, y.rep2, x.n1, y.n2, ({score}) / 4 AS sim FROM sets x, sets y
-      WHERE x.n1 > 0 AND y.n2 > 0) WHERE sim >= {threshold})"""
+      SELECT x.rep1, y.rep2, x.n1, y.n2, ({score}) / 4 AS sim
+      FROM sets x JOIN sets y ON x.n1 > 0 AND y.n2 > 0 {joins}) WHERE sim >= {threshold})"""
 
 
-_SETS = f"""{DOCS}, {classes('docs', *ORDER)}, sets AS MATERIALIZED (
-  SELECT *, {tokens('author_names')} AS s_author_names, {tokens('paper_title')} AS s_paper_title
-  FROM classes)"""
+_SETS = f"""{DOCS},
+  {numbered('docs', ORDER, {f's_{c}': tokens(c) for c in TEXTS})},
+  {', '.join(overlaps(f'ov_{c}', f's_{c}') for c in TEXTS)}"""
 _PAIR_COLUMNS = "rep1, rep2, n1, n2, round(sim, 6) AS sim"
 
 
@@ -393,10 +420,6 @@ ORACLE["class_members"] = f"""WITH {TITLES}
   SELECT side, min("index") OVER (PARTITION BY side, paper_title) AS rep, "index" FROM titles"""
 
 
-def _trigrams(x: str) -> str:
-    return f"list_distinct({words(f'lower({x})')})"
-
-
 _INITIAL_GRAMS = f"""{TITLES}, i AS (SELECT *, {initials('paper_title')} AS i FROM titles),
   g AS (SELECT "index", side, array_to_string({grams('i', 3)}, ' ') AS paper_title FROM i)"""
 ORACLE["match_initials_ngram_jaccard"] = (
