@@ -89,7 +89,8 @@ class Measure:
     ceiling: Callable[[Column, Column], Column] | None = None
 
 
-#: Set similarities by name.
+#: Set similarities by name. Equality is not among them: it holds for two empty sets, which share no
+#: token, and needs no similarity join (see ``matching.equal_records``).
 #:
 #: Dice d and Jaccard j of the same sets are tied by j = d / (2 - d). For the edit similarity, d is
 #: at least the longer length n minus the overlap o, so a score of t leaves o >= n - (1-t)(m+n); the
@@ -98,5 +99,4 @@ MEASURES = {
     "jaccard": Measure(jaccard, lambda t: t),
     "dice": Measure(dice, lambda t: t / (2 - t)),
     "edit": Measure(edit_tokens, lambda t: (2 * t - 1) / (3 - 2 * t), 0.5, edit_ceiling),
-    "exact": Measure(exact_sets, lambda t: 1.0 if t > 0 else 0.0),
 }
