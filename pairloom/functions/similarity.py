@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pairloom.functions.text import let
+from pairloom.functions.text import character_set, let
 
 # Code points below this are left out of the token alphabet (controls and ASCII).
 _FIRST_SYMBOL = 256
@@ -100,3 +100,31 @@ MEASURES = {
     "dice": Measure(dice, lambda t: t / (2 - t)),
     "edit": Measure(edit_tokens, lambda t: (2 * t - 1) / (3 - 2 * t), 0.5, edit_ceiling),
 }
+
+
+def as_set(df: DataFrame, column: str) -> Column:
+    """The set a column stands for: the items of an array, the characters of anything else."""
+    if dict(df.dtypes)[column].startswith("array"):
+        return F.array_distinct(column)
+    return character_set(F.col(column).cast("string"))
+
+
+#: The same set similarities for SQL text, as temporary functions that Spark inlines.
+SQL_FUNCTIONS = {
+    "jaccard_similarity": (
+        "coalesce(try_divide(size(array_intersect(a, b)), size(array_union(a, b))), 0)"
+    ),
+    "dice_similarity": (
+        "coalesce(try_divide(2 * size(array_intersect(a, b)), "
+        "size(array_distinct(a)) + size(array_distinct(b))), 0)"
+    ),
+    "exact_similarity": "CASE WHEN array_sort(a) <=> array_sort(b) THEN 1 ELSE 0 END",
+}
+
+
+def register_sql_functions(spark: SparkSession) -> None:
+    for name, body in SQL_FUNCTIONS.items():
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(a ARRAY<STRING>, b ARRAY<STRING>) "
+            f"RETURNS DOUBLE RETURN {body}"
+        )

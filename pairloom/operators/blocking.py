@@ -189,9 +189,11 @@ def block_sizes(blocked: DataFrame, *columns: str) -> DataFrame:
 
 def block_stats(blocked: DataFrame, *columns: str) -> DataFrame:
     """Number of blocks and of candidate pairs inside them, in one row."""
-    pairs = F.col("records") * (F.col("records") - 1) / 2
+    # Decimal: the square of a large block's size does not fit a bigint.
+    n = F.col("records").cast("decimal(20,0)")
+    pairs = (n * (n - 1) / 2).cast("decimal(38,0)")
     return block_sizes(blocked, *columns).agg(
         F.count(F.lit(1)).alias("blocks"),
         F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
-        F.coalesce(F.sum(pairs.cast("bigint")), F.lit(0)).alias("pairs"),
+        F.coalesce(F.sum(pairs), F.lit(0)).alias("pairs"),
     )

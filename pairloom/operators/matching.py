@@ -40,6 +40,11 @@ def side_counts(tagged: DataFrame, on: Sequence[str]) -> DataFrame:
     )
 
 
+def pair_count(n1: str = "n1", n2: str = "n2") -> Column:
+    """Pairs of n1 and n2 records, as a decimal: the product of two large blocks exceeds a bigint."""
+    return (F.col(n1).cast("decimal(19,0)") * F.col(n2).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 # ---------------------------------------------------------------------------- equality matches
 
 

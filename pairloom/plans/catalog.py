@@ -55,6 +55,15 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+def _shown(counted: DataFrame) -> DataFrame:
+    """Pair counts as bigint and ratios with six decimals."""
+    counts = [c for c in ("tp", "fp", "fn", "pairs", "matches") if c in counted.columns]
+    ratios = [c for c in ("precision", "recall", "f_measure") if c in counted.columns]
+    return counted.withColumns(
+        {c: F.col(c).cast("bigint") for c in counts} | {c: F.round(c, 6) for c in ratios}
+    )
+
+
 # ------------------------------------------------------------------------------- cleaning
 
 
@@ -319,7 +328,7 @@ def block_sizes(spark, folder):
 
 @query("block_stats")
 def block_stats(spark, folder):
-    return blocking.block_stats(blocking.initials_hash(part_records(spark, folder), TEXTS))
+    return _shown(blocking.block_stats(blocking.initials_hash(part_records(spark, folder), TEXTS)))
 
 
 # ------------------------------------------------------------------------ equality matches
@@ -550,22 +559,19 @@ def evaluate_pairs(spark, folder):
     found = evaluate.evaluate_pairs(
         _id_pairs(title_pairs(spark, folder, 0.5)), _id_pairs(title_pairs(spark, folder, 0.85))
     )
-    return _round_metrics(found)
-
-
-def _round_metrics(scored: DataFrame) -> DataFrame:
-    return scored.withColumns(
-        {c: F.round(c, 6) for c in ("precision", "recall", "f_measure")}
-    )
+    return _shown(found)
 
 
 @query("evaluate_blocking")
 def evaluate_blocking(spark, folder):
-    keys = {"initial_h": blocking.initials_key(TITLE), "length": blocking.text_length("paper_title").cast("string")}
+    keys = {
+        "initial_h": blocking.initials_key(TITLE),
+        "length": blocking.text_length("paper_title").cast("string"),
+    }
     found = sweeps.evaluate_keys(
         *document_sources(spark, folder), keys, {0.7: title_pairs(spark, folder, 0.7)}, TITLE
     )
-    return _round_metrics(found)
+    return _shown(found)
 
 
 @query("pairs_subset")
@@ -610,17 +616,17 @@ def sweep_blockings(spark, folder):
     loose = write_through(baseline_pairs(spark, folder, 0.7))
     baselines = {0.7: loose, 0.85: loose.filter("sim >= 0.85")}
     found = sweeps.evaluate_keys(*document_sources(spark, folder), keys, baselines)
-    return _round_metrics(found)
+    return _shown(found)
 
 
 @query("sweep_columns")
 def sweep_columns(spark, folder):
-    return sweeps.column_sweep(*document_sources(spark, folder), **LANGUAGE_VENUE)
+    return _shown(sweeps.column_sweep(*document_sources(spark, folder), **LANGUAGE_VENUE))
 
 
 @query("sweep_augment")
 def sweep_augment(spark, folder):
-    return sweeps.augmentation_sweep(*document_sources(spark, folder))
+    return _shown(sweeps.augmentation_sweep(*document_sources(spark, folder)))
 
 
 @query("replicate")
@@ -631,4 +637,4 @@ def replicate(spark, folder):
 
 @query("replication_sweep")
 def replication_sweep(spark, folder):
-    return sweeps.replication_sweep(*document_sources(spark, folder))
+    return _shown(sweeps.replication_sweep(*document_sources(spark, folder)))

@@ -120,3 +120,15 @@ def test_edit_characters(spark):
     df = spark.createDataFrame([("kitten", "sitting"), ("", ""), ("é", "e")], "a string, b string")
     found = [r[0] for r in df.select(similarity.edit_characters(F.col("a"), F.col("b"))).collect()]
     assert found == pytest.approx([1 - 3 / 7, 1.0, 0.0])
+
+
+def test_sets_by_column_type_and_in_sql(spark):
+    similarity.register_sql_functions(spark)
+    df = spark.createDataFrame([(["a", "b", "b"], "abb", 11)], "items array<string>, s string, n int")
+    row = df.select(*[similarity.as_set(df, c).alias(c) for c in df.columns]).first()
+    assert (row["items"], row.s, row.n) == (["a", "b"], ["a", "b"], ["1"])
+    found = spark.sql(
+        "SELECT jaccard_similarity(a, b) j, dice_similarity(a, b) d, exact_similarity(a, b) e "
+        "FROM VALUES (array('x', 'y'), array('y', 'z')) t(a, b)"
+    ).first()
+    assert tuple(found) == pytest.approx((1 / 3, 0.5, 0.0))
