@@ -22,16 +22,13 @@ HEADLINE = (
     "match_initials_hash",
     "match_full_hash",
     "match_length",
-    "match_two_level",
     "baseline_jac_title_70",
     "baseline_jac_70",
     "baseline_exact_70",
     "baseline_edit_title_85",
-    "match_key_strict",
     "clusters_components",
     "clusters_first_fit",
     "evaluate_blocking",
-    "sweep_blockings",
     "sweep_columns",
     "replication_sweep",
 )

@@ -61,7 +61,7 @@ def _state(word: Column, r1: Column, r2: Column, done: Column) -> Column:
 def _mark(token: Column) -> Column:
     """Unify apostrophes, drop a leading one, write a consonantal y as Y."""
     word = F.regexp_replace(F.translate(token, "’‘‛", "'''"), "^'", "")
-    word = F.regexp_replace(word, f"^y|(?<={VOWEL})y", "Y")
+    word = F.regexp_replace(F.regexp_replace(word, "^y", "Y"), f"({VOWEL})y", "$1Y")
     return F.struct(token.alias("t"), word.alias("w"))
 
 

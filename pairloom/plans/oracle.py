@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pairloom.functions.stem import ADJECTIVAL, DERIVED, DROPPED, SPECIAL
+
 ORACLE: dict[str, str] = {}
 
 WS = r"[\s\x1c-\x1f\x85\p{Z}]+"
@@ -205,6 +207,105 @@ def _prepared() -> str:
 
 ORACLE["prepare_records"] = _prepared()
 
+
+
+def _choices(endings) -> str:
+    return "|".join(endings)
+
+
+def _mapped(table: dict[str, str], x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+def _stem_steps(vocabulary: str) -> str:
+    """CTEs from the distinct words ``vocabulary(t)`` to ``stems(t, stem)``, one step at a time."""
+    short = "regexp_matches(stem, '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$')"
+    region = "length(regexp_extract({0}, '^.*?[aeiouy][^aeiouy]'))"
+    steps = []
+
+    def step(name: str, source: str, word: str, done: str = "done") -> None:
+        steps.append(f"""{name} AS MATERIALIZED (SELECT t, r1, r2, {done} AS done,
+          CASE WHEN done THEN w ELSE {word} END AS w FROM {source})""")
+
+    def suffix(name: str, source: str, endings, replaced: str, allowed: str) -> None:
+        steps.append(f"""{name}_e AS (SELECT *, regexp_extract(w, '({_choices(endings)})$', 1) AS e
+          FROM {source}),
+        {name}_p AS (SELECT *, left(w, (length(w) - length(e))::int) AS stem FROM {name}_e)""")
+        step(name, f"{name}_p", f"CASE WHEN e <> '' AND {allowed} THEN stem || {replaced} ELSE w END")
+
+    steps.append(f"""marked AS (SELECT t, regexp_replace(regexp_replace(regexp_replace(
+        translate(t, '’‘‛', repeat(chr(39), 3)), '^\\x27', ''), '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w
+        FROM {vocabulary}),
+      one AS (SELECT *, CASE WHEN regexp_matches(w, '^(gener|commun|arsen)')
+          THEN length(regexp_extract(w, '^(gener|commun|arsen)'))
+          ELSE coalesce(nullif({region.format('w')}, 0), length(w)) END AS r1 FROM marked),
+      two AS (SELECT *, substring(w, r1 + 1) AS rest, {_mapped(SPECIAL, 't')} AS fixed FROM one),
+      begun AS MATERIALIZED (SELECT t, r1,
+          r1 + coalesce(nullif({region.format('rest')}, 0), length(rest)) AS r2,
+          length(t) <= 2 OR fixed IS NOT NULL AS done,
+          CASE WHEN length(t) <= 2 THEN t ELSE coalesce(fixed, w) END AS w FROM two)""")
+    step("possessive", "begun", "regexp_replace(w, '(\\x27s\\x27|\\x27s|\\x27)$', '')")
+    step("plural", "possessive", """CASE
+        WHEN w LIKE '%sses' THEN left(w, -2)
+        WHEN regexp_matches(w, '(ied|ies)$') THEN left(w, CASE WHEN length(w) > 4 THEN -2 ELSE -1 END)
+        WHEN regexp_matches(w, '(us|ss)$') THEN w
+        WHEN regexp_matches(w, '[aeiouy].+s$') THEN left(w, -1) ELSE w END""")
+    step("kept", "plural", "w", """done OR w IN ('inning', 'outing', 'canning', 'herring', 'earring',
+        'proceed', 'exceed', 'succeed')""")
+    steps.append("""past_e AS (SELECT *, regexp_extract(w, '(eedly|ingly|edly|eed|ing|ed)$', 1) AS e FROM kept),
+      past_p AS (SELECT *, left(w, (length(w) - length(e))::int) AS stem FROM past_e)""")
+    step("past", "past_p", f"""CASE WHEN e = '' THEN w
+        WHEN e IN ('eed', 'eedly') THEN CASE WHEN length(stem) >= r1 THEN stem || 'ee' ELSE w END
+        WHEN NOT regexp_matches(stem, '[aeiouy]') THEN w
+        WHEN regexp_matches(stem, '(at|bl|iz)$') THEN stem || 'e'
+        WHEN regexp_matches(stem, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(stem, -1)
+        WHEN length(stem) <= r1 AND {short} THEN stem || 'e' ELSE stem END""")
+    step("final_y", "past", "regexp_replace(w, '(.[^aeiouy])[yY]$', '\\1i')")
+    suffix("derived", "final_y", DERIVED, _mapped(DERIVED, "e"), """length(stem) >= r1
+        AND (e <> 'ogi' OR w LIKE '%logi') AND (e <> 'li' OR regexp_matches(w, '[cdeghkmnrt]li$'))""")
+    suffix("adjectival", "derived", ADJECTIVAL, _mapped(ADJECTIVAL, "e"),
+           "length(stem) >= r1 AND (e <> 'ative' OR length(stem) >= r2)")
+    suffix("dropped", "adjectival", DROPPED, "''",
+           "length(stem) >= r2 AND (e <> 'ion' OR regexp_matches(w, '[st]ion$'))")
+    steps.append("last_p AS (SELECT *, left(w, -1) AS stem, length(w) - 1 AS n FROM dropped)")
+    step("trimmed", "last_p", f"""CASE
+        WHEN w LIKE '%e' AND (n >= r2 OR (n >= r1 AND NOT {short})) THEN stem
+        WHEN w LIKE '%ll' AND n >= r2 THEN stem ELSE w END""")
+    steps.append("stems AS (SELECT t, replace(w, 'Y', 'y') AS stem FROM trimmed)")
+    return ", ".join(steps)
+
+
+_CLEANED = normalise(f"regexp_replace(text, '{PUNCT}', '', 'g')")
+ORACLE["stem_titles"] = f"""WITH cleaned AS (SELECT doc_id, {words(_CLEANED)} AS ws FROM documents),
+  places AS MATERIALIZED (SELECT doc_id, unnest(ws) AS t, generate_subscripts(ws, 1) AS place FROM cleaned),
+  vocabulary AS (SELECT DISTINCT t FROM places), {_stem_steps('vocabulary')},
+  joined AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY place) AS stemmed
+    FROM places JOIN stems USING (t) GROUP BY doc_id)
+  SELECT doc_id::varchar AS "index", coalesce(stemmed, '') AS paper_title
+  FROM documents LEFT JOIN joined USING (doc_id)"""
+
+
+def _prepared_stemmed() -> str:
+    places = " UNION ALL ".join(
+        f"SELECT \"index\", '{c}' AS field, unnest(ws) AS t, generate_subscripts(ws, 1) AS place "
+        f"FROM (SELECT \"index\", {words(c)} AS ws FROM prepared)"
+        for c in ("paper_title", "publication_venue")
+    )
+
+    def field(c: str) -> str:
+        return f"""coalesce((SELECT stemmed FROM joined j
+          WHERE j."index" = prepared."index" AND j.field = '{c}'), '') AS {c}"""
+
+    return f"""WITH prepared AS MATERIALIZED ({_prepared()}), places AS MATERIALIZED ({places}),
+      vocabulary AS (SELECT DISTINCT t FROM places), {_stem_steps('vocabulary')},
+      joined AS MATERIALIZED (SELECT "index", field, string_agg(stem, ' ' ORDER BY place) AS stemmed
+        FROM places JOIN stems USING (t) GROUP BY ALL)
+      SELECT {field('paper_title')}, author_names, year, {field('publication_venue')}, "index"
+      FROM prepared"""
+
+
+ORACLE["prepare_records_stemmed"] = _prepared_stemmed()
+
 # -------------------------------------------------------------------------------- profiling
 
 _MOMENTS = """years AS (SELECT (length(bin(n_chars)) + 1990)::double AS x FROM documents),
