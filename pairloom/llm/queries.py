@@ -7,13 +7,34 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import packing, plane_store
+from pairloom.llm import byte_bpe, license_scan, packing, plane_store, quality, url_rules
 from pairloom.llm.common import read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's URL judged by the rules its tokens fetch."""
+    return url_rules.judge(read(spark, folder, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality counts, and the verdict of cutoffs certified on the labelled documents."""
+    judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return judged.drop("stratum", "n_upper")
+
+
+def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts encoded by merging in padded matrices, and decoded again."""
+    return byte_bpe.digest_documents(read(spark, folder, "documents"), MULTI_BPE, public_tokenizers.PATTERN)
+
+
+def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and templates in every text."""
+    return license_scan.scan(read(spark, folder, "documents"))
+
+
 def op8_plane_store(spark: SparkSession, folder: str) -> DataFrame:
     """Ids written as bit-plane shards in doc_id order and read back."""
     shards = plane_store.new_folder(spark)
@@ -27,6 +48,10 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_rules": op2_url_rules,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_license_scan": op6_license_scan,
     "op8_plane_store": op8_plane_store,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
