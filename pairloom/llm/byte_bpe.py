@@ -20,7 +20,6 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.common import Recent, steps
-from pairloom.llm.tokens import cut
+from pairloom.llm.tokens import encode_by_pieces
 
 #: Bytes of a pre-token that still goes into a matrix.
 LONGEST = 512
@@ -105,8 +104,7 @@ class Coder:
         self.pairs = PairTable(np.array(pairs, np.uint64), np.array(ranks, np.int32))
         self.rank_of = dict(zip(pairs, ranks))
         self.single = np.array([self.id_of[bytes([b])] for b in range(256)], np.int32)
-        self.pieces = Recent(partial(self._encode_pieces, before=" "))
-        self.heads = Recent(partial(self._encode_pieces, before=""), 50_000)
+        self.pieces = Recent(lambda pieces: self._encode_whole([f" {p.decode()}" for p in pieces]))
 
     # ------------------------------------------------------------------ pre-tokens
 
@@ -191,21 +189,15 @@ class Coder:
 
     # ------------------------------------------------------------------ texts
 
-    def _encode_pieces(self, pieces: list[str], before: str) -> list[bytes]:
-        parts = [self.split(before + piece) for piece in pieces]
+    def _encode_whole(self, texts: list[str]) -> list[bytes]:
+        parts = [self.split(text) for text in texts]
         words = list({word for part in parts for word in part})
         ids = dict(zip(words, self.merge([word.encode() for word in words])))
         return [b"".join(map(ids.__getitem__, part)) for part in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as bytes of little-endian unsigned 32-bit integers."""
-        parts = [cut(t) or [t] for t in texts]
-        asked: set[str] = set()
-        for part in parts:
-            asked.update(part[1:])
-        heads = self.heads.known({part[0] for part in parts})
-        known = self.pieces.known(asked)
-        return [b"".join((heads[p[0]], *map(known.__getitem__, p[1:]))) for p in parts]
+        return encode_by_pieces(texts, self._encode_whole, self.pieces) if texts else []
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -2,7 +2,7 @@
 
 The library's byte-level pattern always breaks a text between a non-space and a space. A text is
 therefore cut at its spaces; each distinct piece is encoded by the library once and remembered, and the
-ids of a text are those of its pieces in order. Texts whose white space would be cut wrongly that way
+ids of a text are those of its pieces in order. Equal pieces of a step are found by ``spans.distinct``. Texts whose white space would be cut wrongly that way
 (a space between other white space) go through the library whole. Results are those of ``encode``.
 """
 
@@ -10,26 +10,55 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 from pairloom.llm.common import Recent
+from pairloom.llm.spans import distinct
 
 #: A space inside a run of white space that does not end it, or one that ends the text in a run.
 _ODD = re.compile(r"\s (?!\S)")
-_PLAIN = re.compile(r"\S+")
 #: Pieces that the library is given as one text; white space never joins two of them.
 _TOGETHER = 256
 
 _encoders: dict[str, "Encoder"] = {}
 
 
-def cut(text: str) -> list[str] | None:
-    """The pieces of a text between its spaces, or None where it must stay whole.
+def encode_by_pieces(texts: list[str], heads: Callable[[list[str]], list[bytes]], after_space: Recent) -> list[bytes]:
+    """Ids of texts that are cut at their spaces.
 
-    All pieces but the first stand for themselves with a space before them.
+    ``heads`` encodes what stands before the first space, and texts that must stay whole; ``after_space``
+    knows the ids of a piece (as UTF-8) with a space before it.
     """
-    return None if _ODD.search(text) else text.split(" ")
+    whole = [bool(_ODD.search(t)) for t in texts]
+    joined = " ".join(["" if w else t for t, w in zip(texts, whole)])
+    raw = np.frombuffer(joined.encode(), np.uint8)
+    spaces = np.flatnonzero(raw == 32)
+    first, last = np.append(0, spaces + 1), np.append(spaces, len(raw))
+    counts = np.array([1 if w else t.count(" ") + 1 for t, w in zip(texts, whole)])
+    head = np.cumsum(counts) - counts
+    codes, sample = distinct(raw, first, last)
+    is_head = np.zeros(len(codes), bool)
+    is_head[head] = True
+    used = np.unique(codes[~is_head])
+    view = raw.tobytes()
+    keys = [view[a:b] for a, b in zip(first[sample[used]].tolist(), last[sample[used]].tolist())]
+    known = after_space.known(keys)
+    pool = [*map(known.__getitem__, keys)]
+    pool += heads([t if w else t.partition(" ")[0] for t, w in zip(texts, whole)])
+    place = np.zeros(len(sample), np.int64)
+    place[used] = np.arange(len(used))
+    entry = place[codes]
+    entry[head] = len(used) + np.arange(len(texts))
+    ids = np.frombuffer(b"".join(pool), "<u4")
+    sizes = np.array([len(p) // 4 for p in pool], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    lengths = sizes[entry]
+    ends = np.cumsum(lengths)
+    found = ids[np.arange(ends[-1]) + np.repeat(starts[entry] - (ends - lengths), lengths)].tobytes()
+    cuts = (4 * np.append(0, ends[head + counts - 1])).tolist()
+    return [found[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Encoder:
@@ -50,35 +79,28 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4") for x in found]
 
-    def _after_space(self, pieces: list[str]) -> list[bytes]:
+    def _after_space(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece with a space before it."""
-        plain = [p for p in pieces if _PLAIN.fullmatch(p)]
-        made: dict[str, bytes] = {}
-        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        texts = ["".join(f" {p}" for p in group) for group in groups]
-        for group, ids in zip(groups, self.whole(texts)):
-            ends = np.cumsum(self.width[ids])
-            stops = np.cumsum([len(p.encode()) + 1 for p in group])
-            cuts = [0, *(4 * (np.searchsorted(ends, stops) + 1)).tolist()]
+        groups = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
+        texts = [" " + b" ".join(group).decode() for group in groups]
+        # As with texts, white space may forbid to put some together.
+        plain = [not _ODD.search(text) for text in texts]
+        together = iter(self.whole([t for t, p in zip(texts, plain) if p]))
+        alone = iter(self.whole([f" {x.decode()}" for g, p in zip(groups, plain) if not p for x in g]))
+        made: list[bytes] = []
+        for group, p in zip(groups, plain):
+            if not p:
+                made += [next(alone).tobytes() for _ in group]
+                continue
+            ids = next(together)
+            stops = np.cumsum([len(x) + 1 for x in group])
+            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), stops) + 1)).tolist()]
             raw = ids.tobytes()
-            made.update((p, raw[a:b]) for p, a, b in zip(group, cuts, cuts[1:]))
-        rest = [p for p in pieces if p not in made]
-        made.update((p, ids.tobytes()) for p, ids in zip(rest, self.whole([f" {p}" for p in rest])))
-        return [made[p] for p in pieces]
+            made += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return made
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [cut(t) for t in texts]
-        asked: set[str] = set()
-        for p in parts:
-            if p:
-                asked.update(p[1:])
-        known = self.pieces.known(asked)
-        # Heads have no space before them; they are few, so they go straight to the library.
-        heads = iter(self.whole([t if p is None else p[0] for t, p in zip(texts, parts)]))
-        return [
-            next(heads).tobytes() if p is None else b"".join((next(heads).tobytes(), *map(known.__getitem__, p[1:])))
-            for p in parts
-        ]
+        return encode_by_pieces(texts, lambda heads: [x.tobytes() for x in self.whole(heads)], self.pieces) if texts else []
 
 
 def encoder(path: str) -> Encoder:
