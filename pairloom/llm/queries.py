@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import byte_bpe, license_scan, packing, plane_store, quality, url_rules
-from pairloom.llm.common import read
+from pairloom.llm import byte_bpe, language_id, license_scan, markov_lm, multi_index, ngram_join, packing, plane_store, quality, url_rules
+from pairloom.llm.common import crc32_bucket, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.components(read(spark, folder, "documents"))
+
+
 def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's URL judged by the rules its tokens fetch."""
     return url_rules.judge(read(spark, folder, "pages"))
@@ -25,6 +30,18 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("stratum", "n_upper")
 
 
+def language_model(docs: DataFrame) -> language_id.Model | None:
+    """Learnt from the documents that are not held out."""
+    return language_id.fit(docs, crc32_bucket(F.col("doc_id"), 4) != 2)
+
+
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text by averaged subword embeddings."""
+    docs = read(spark, folder, "documents")
+    found = language_id.identify(docs, language_model(docs))
+    return found.select("doc_id", (crc32_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Texts encoded by merging in padded matrices, and decoded again."""
     return byte_bpe.digest_documents(read(spark, folder, "documents"), MULTI_BPE, public_tokenizers.PATTERN)
@@ -35,6 +52,11 @@ def op6_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.scan(read(spark, folder, "documents"))
 
 
+def op7_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return multi_index.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_plane_store(spark: SparkSession, folder: str) -> DataFrame:
     """Ids written as bit-plane shards in doc_id order and read back."""
     shards = plane_store.new_folder(spark)
@@ -42,17 +64,26 @@ def op8_plane_store(spark: SparkSession, folder: str) -> DataFrame:
     return plane_store.digest_documents(spark, shards)
 
 
+def op9_markov_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text scored by a hidden Markov model and by smoothed word counts."""
+    return markov_lm.score_documents(read(spark, folder, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed into sequences of 2048 tokens by the sum-of-squares rule."""
     return packing.pack_documents(read(spark, folder, "documents"), BYTE_BPE, end_id=0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_url_rules": op2_url_rules,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_license_scan": op6_license_scan,
+    "op7_multi_index": op7_multi_index,
     "op8_plane_store": op8_plane_store,
+    "op9_markov_lm": op9_markov_lm,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
