@@ -99,7 +99,7 @@ def fit(sample: np.ndarray, top: int, centroids: int = CENTROIDS, recall: float
         share[order] = np.cumsum(sizes[order]) / len(sample)
         near = np.argsort(-scores)[: min(top, len(sample) - 1)]
         reached += share[cells[near]].tolist()
-    index.depth = float(np.quantile(reached, recall)) if reached else 1.0
+    index.depth = float(np.quantile(reached, recall)) if reached and recall < 1 else 1.0
     return index
 
 
