@@ -4,27 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.stem import stem_words
 from pairloom.functions.text import normalise, strip_punctuation
 from pairloom.schema import RECORD_COLUMNS
+from pairloom.session import write_through
 
 # Stand-ins for missing text (the second is spelled this way on purpose).
 DEFAULTS = {"paper_title": "Untitled", "author_names": "unamed"}
 VENUE_PATTERN = "SIGMOD|VLDB"
 FIRST_YEAR, LAST_YEAR = 1995, 2004
 
-FILLS = {
-    "mean": lambda c: F.avg(c),
-    "median": lambda c: F.median(c),
-    "mode": lambda c: F.mode(c, deterministic=True),
-}
+#: Ways to fill missing years.
+FILLS = ("mean", "median", "mode")
+#: Text that spells a number.
+NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+
+
+def _middle(counts: DataFrame, total: int) -> float:
+    """Median from (year, n): distinct years are sorted over partitions, and only partition totals are gathered."""
+    held = write_through(
+        counts.repartitionByRange("year").select("year", "n", F.spark_partition_id().alias("part"))
+    )
+    before, wanted, found = 0, [(total - 1) // 2, total // 2], []
+    for part, n in sorted(held.groupBy("part").agg(F.sum("n")).collect()):
+        if any(before <= rank < before + n for rank in wanted):
+            so_far = F.sum("n").over(Window.partitionBy("part").orderBy("year"))
+            rows = held.filter(F.col("part") == part).select("year", (so_far + before).alias("upto"))
+            for rank in wanted:
+                if before <= rank < before + n:
+                    found.append(rows.filter(F.col("upto") > rank).agg(F.min("year")).first()[0])
+        before += n
+    return sum(found) / len(found)
+
+
+def fill_value(df: DataFrame, method: str) -> float | None:
+    """The mean, median or smallest mode of the years; null when there is none."""
+    if method == "mean":
+        return df.agg(F.avg("year")).first()[0]
+    counts = df.filter("year IS NOT NULL").groupBy(F.col("year").cast("double").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    total, often = counts.agg(F.sum("n"), F.max(F.struct("n", -F.col("year")))).first()
+    if total is None:
+        return None
+    return -often[1] if method == "mode" else _middle(counts, total)
 
 
 def parse_year(df: DataFrame) -> DataFrame:
-    """Year as a number; anything that is not one becomes null."""
-    return df.withColumn("year", F.col("year").try_cast("double"))
+    """Year as a number; anything that does not spell one becomes null."""
+    year = F.col("year").cast("string")
+    return df.withColumn("year", F.when(year.rlike(NUMBER), F.trim(year).try_cast("double")))
 
 
 def drop_missing_years(df: DataFrame) -> DataFrame:
@@ -36,7 +65,7 @@ def fill_years(df: DataFrame, method: str) -> DataFrame:
     method = method.lower()
     if method not in FILLS:
         raise ValueError(f"unknown filling method {method!r}; use one of {sorted(FILLS)}")
-    fill = df.agg(FILLS[method]("year").cast("double")).scalar()
+    fill = F.lit(fill_value(df, method)).cast("double")
     return df.withColumn("year", F.coalesce("year", fill))
 
 
@@ -52,11 +81,36 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, str] = DEFAULTS) -> Data
     return df.fillna(dict(defaults))
 
 
+def record_text(columns: Sequence[str]) -> Column:
+    """The values as one string that differs whenever they do, missing ones included."""
+    text = [F.col(c).cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.lit("v"), F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in text]
+    return F.concat(*parts)
+
+
 def surrogate_ids(df: DataFrame, reproducible: bool = False) -> DataFrame:
-    """Give records without an id one of 32 hex digits: random, or the md5 of the record."""
-    others = [F.col(c).cast("string") for c in df.columns if c != "index"]
-    new = F.md5(F.concat_ws("\x1f", *others)) if reproducible else F.replace(F.uuid(), F.lit("-"))
-    return df.withColumn("index", F.coalesce("index", new))
+    """Give records without an id one of 32 hex digits: random, or the md5 of the record and its occurrence number.
+
+    Equal records are numbered in two levels, so that a record which is repeated very often is not
+    gathered in one task.
+    """
+    if not reproducible:
+        return df.withColumn("index", F.coalesce("index", F.replace(F.uuid(), F.lit("-"))))
+    others = [c for c in df.columns if c != "index"]
+    lacking = write_through(
+        df.filter("index IS NULL").select(
+            *others, F.md5(record_text(others)).alias("_key"), (F.monotonically_increasing_id() % 64).alias("_salt")
+        )
+    )
+    before = Window.partitionBy("_key").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lacking.groupBy("_key", "_salt").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_key", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_key", "_salt").orderBy(F.lit(0)))
+    number = (F.col("_start") + F.col("_row")).cast("string")
+    named = lacking.withColumn("_row", inside).join(starts, ["_key", "_salt"]).withColumn(
+        "index", F.md5(F.concat("_key", F.lit("#"), number))
+    )
+    return df.filter("index IS NOT NULL").unionAll(named.select(*df.columns))
 
 
 def remove_punctuation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -86,7 +140,12 @@ def drop_duplicates(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     columns = list(columns or [c for c in df.columns if c != "index"])
     rest = [c for c in df.columns if c not in columns]
     if rest == ["index"]:
-        return df.groupBy(*columns).agg(F.min("index").alias("index")).select(*df.columns)
+        # Only digests and ids are grouped; the texts are fetched once for the ids that stay.
+        keyed = df.withColumn("_key", F.md5(record_text(columns)))
+        kept = keyed.groupBy("_key").agg(F.min("index").alias("index")).select("_key", F.col("index").alias("_kept"))
+        one = keyed.join(kept, "_key").filter(F.col("index").eqNullSafe(F.col("_kept")))
+        repeated = Window.partitionBy("_key").orderBy(F.lit(0))
+        return one.withColumn("_row", F.row_number().over(repeated)).filter("_row = 1").select(*df.columns)
     return df.dropDuplicates(columns)
 
 

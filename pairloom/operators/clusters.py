@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pairloom.operators.skew import salted_join
 from pairloom.session import write_through
 
 #: Pairs numbered within 2^20 of each other form one chunk, which bounds every sorted window.
@@ -36,10 +35,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node it sees."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(
-        F.least(F.min("v"), F.col("u")).alias("low"), F.count(F.lit(1)).alias("n")
+        F.least(F.min("v"), F.col("u")).alias("low")
     )
     return (
-        salted_join(both, least, ["u"], weight="n", spread=["v"])
+        both.join(least, "u")
         .filter("v > u")
         .select(F.col("v").alias("u"), F.col("low").alias("v"))
         .distinct()
@@ -48,9 +47,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. Needs u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
+    least = edges.groupBy("u").agg(F.min("v").alias("low"))
     moved = (
-        salted_join(edges, least, ["u"], weight="n", spread=["v"])
+        edges.join(least, "u")
         .filter("v <> low")
         .select(F.col("v").alias("u"), F.col("low").alias("v"))
     )
@@ -85,19 +84,11 @@ def components(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
     The graph has one node per class; its records are attached afterwards.
     """
-    pairs = write_through(pairs.select("rep1", "rep2", "n1", "n2"))
-    weights = (
-        pairs.select(node("a", "rep1").alias("rep"), F.col("n1").alias("n"))
-        .unionAll(pairs.select(node("b", "rep2").alias("rep"), F.col("n2").alias("n")))
-        .distinct()
-    )
     roots = connected_components(match_edges(pairs)).withColumnRenamed("id", "rep")
     named = members.select(
         node(F.col("side"), "rep").alias("rep"), node(F.col("side"), "index").alias("id")
     )
-    return salted_join(named, roots.join(weights, "rep"), ["rep"], weight="n", spread=["id"]).select(
-        "cluster_id", "id"
-    )
+    return named.join(roots, "rep").select("cluster_id", "id")
 
 
 def _earlier_minimum(touches: DataFrame) -> DataFrame:
@@ -155,35 +146,32 @@ def first_fit(pairs: DataFrame, order: Sequence[str] = ("id1", "id2")) -> DataFr
             .agg(F.min("label").alias("label"))
         )
         lowered = write_through(lowered)
-        weights = lowered.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        ahead = lowered.select(F.col("seq").alias("label"), F.col("label").alias("next")).join(
-            weights, "label"
-        )
-        moved = write_through(
-            salted_join(lowered, ahead, ["label"], weight="n", spread=["seq"]).select(
-                "seq", F.col("next").alias("label")
-            )
-        )
+        ahead = lowered.select(F.col("seq").alias("label"), F.col("label").alias("next"))
+        moved = write_through(lowered.join(ahead, "label").select("seq", F.col("next").alias("label")))
         changed = moved.join(labels.withColumnRenamed("label", "old"), "seq").filter("label <> old")
         labels = moved
         if changed.isEmpty():
             break
     held = touches.join(labels, "seq").select("label", "node").distinct()
-    founders = (
-        held.groupBy("label")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(numbered.withColumnRenamed("seq", "label"), "label")
-        .select("label", "n", F.concat_ws("|", "id1", "id2").alias("cluster_id"))
-    )
-    return salted_join(held, founders, ["label"], weight="n", spread=["node"]).select(
-        "cluster_id", F.col("node").alias("id")
-    )
+    founders = numbered.select(F.col("seq").alias("label"), F.concat_ws("|", "id1", "id2").alias("cluster_id"))
+    return held.join(founders, "label").select("cluster_id", F.col("node").alias("id"))
 
 
 def cluster_count(clusters: DataFrame) -> DataFrame:
     return clusters.agg(F.countDistinct("cluster_id").alias("clusters"))
 
 
+def first_fit_members(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """First-fit clusters of class pairs with all their records, (cluster_id, id).
+
+    Record pairs are taken in the order of their classes: by the smallest ids of both classes, and inside
+    a pair of classes by the records' own ids. A copy meets exactly the pairs of its class, so it lies in every
+    cluster that its class's representative lies in, and names are those of the representatives, which come first.
+    """
+    named = members.select(node(F.col("side"), "rep").alias("rep"), node(F.col("side"), "index").alias("id"))
+    return clusters.withColumnRenamed("id", "rep").join(named, "rep").select("cluster_id", "id").distinct()
+
+
 def resolved_records(records: DataFrame, clusters: DataFrame) -> DataFrame:
     """One record per entity: every unmatched record and the namesake of every cluster.
 

@@ -18,12 +18,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.functions.similarity import MEASURES
-from pairloom.functions.text import lower_character_set, token_set
-from pairloom.operators.setjoin import EPSILON, candidate_pairs
-from pairloom.operators.skew import salted_join
+from pairloom.functions.text import character_set, lower_character_set, token_set
+from pairloom.operators.setjoin import EPSILON, candidate_pairs, possible_pairs, ranked_sets
 from pairloom.session import write_through
 
-ELEMENTS = {"tokens": token_set, "characters": lower_character_set}
+#: What a text is taken as a set of; ``characters`` are those of its lower-cased tokens, ``raw_characters`` all.
+ELEMENTS = {"tokens": token_set, "characters": lower_character_set, "raw_characters": character_set}
 
 
 def both_sides(left: DataFrame, right: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
@@ -49,8 +49,9 @@ def pair_count(n1: str = "n1", n2: str = "n2") -> Column:
 
 
 def matched_keys(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys that occur on both sides, with the records (``n1``, ``n2``) they hold there."""
-    return side_counts(both_sides(left, right, on), on).filter("n1 > 0 AND n2 > 0")
+    """Keys that occur on both sides, with the records (``n1``, ``n2``) they hold there. A missing key is none."""
+    tagged = both_sides(left, right, on).dropna(subset=list(on))
+    return side_counts(tagged, on).filter("n1 > 0 AND n2 > 0")
 
 
 def match_equal(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -59,9 +60,8 @@ def match_equal(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
     The texts behind the keys are read once: counting and selecting work on the written keys.
     """
     tagged = write_through(both_sides(left, right, [*on, "index"]))
-    keys = side_counts(tagged, on).filter("n1 > 0 AND n2 > 0")
-    keys = keys.select(*on, (F.col("n1") + F.col("n2")).alias("n"))
-    return salted_join(tagged, keys, on, weight="n", spread=["index"], how="left_semi").distinct()
+    keys = side_counts(tagged, on).filter("n1 > 0 AND n2 > 0").select(*on)
+    return tagged.join(keys, on, "left_semi").distinct()
 
 
 def expand_groups(groups: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -104,13 +104,8 @@ def class_members(left: DataFrame, right: DataFrame, columns: Sequence[str]) ->
             "side", "index", class_key(columns).alias("class")
         )
     )
-    reps = tagged.groupBy("side", "class").agg(
-        F.min("index").alias("rep"), F.count(F.lit(1)).alias("n")
-    )
-    on = ["side", "class"]
-    return salted_join(tagged, reps, on, weight="n", spread=["index"]).select(
-        "side", "rep", "index"
-    )
+    reps = tagged.groupBy("side", "class").agg(F.min("index").alias("rep"))
+    return tagged.join(reps, ["side", "class"]).select("side", "rep", "index")
 
 
 def expand_classes(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -187,6 +182,8 @@ def similar_records(
     ones = sets.filter("n1 > 0").withColumnRenamed("class", "id")
     twos = sets.filter("n2 > 0").withColumnRenamed("class", "id")
 
+    carried = [*block, *(c for c in single if c not in block)]
+    ranked = {c: ranked_sets(ones, twos, f"set_{c}", carried) for c in texts}
     found = []
     for agree, score in _levels(len(texts), len(single), threshold, kind.miss):
         floor = kind.jaccard_floor(score)
@@ -195,7 +192,7 @@ def similar_records(
                 f"threshold {threshold} lets {measure} pairs qualify that share nothing"
             )
         on = [*block, *(c for c in single if agree and c not in block)]
-        found += [candidate_pairs(ones, twos, f"set_{c}", floor, on) for c in texts]
+        found += [possible_pairs(candidate_pairs(ranked[c], floor, on), ranked[c], floor) for c in texts]
     if not found:
         raise ValueError(f"no pair can reach the threshold {threshold}")
     candidates = found[0] if len(found) == 1 else reduce(DataFrame.unionAll, found).distinct()

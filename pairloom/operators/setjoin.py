@@ -1,8 +1,8 @@
 """Exact set-similarity join by prefix filtering.
 
 Published ideas: prefix and length filtering (Bayardo et al. 2007, "Scaling up all pairs similarity
-search"), positional filtering (Xiao et al. 2008, PPJoin) and longer prefixes that must share several
-tokens (Wang et al. 2012, AdaptJoin).
+search"), positional filtering (Xiao et al. 2008, PPJoin), longer prefixes that must share several
+tokens (Wang et al. 2012, AdaptJoin) and bitmaps that bound an overlap (Sandes et al. 2020).
 
 For sets sorted by one global token order, two sets with Jaccard >= t share a token among the first
 |s| - ceil(t |s|) + 1 of each. Any order is right; rarest first makes the shared token selective.
@@ -11,57 +11,72 @@ For sets sorted by one global token order, two sets with Jaccard >= t share a to
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log
 
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.operators.skew import salted_join
+from pairloom.session import write_through
 
 #: Slack for rounding: a filter may keep too much but never drop a true pair.
 EPSILON = 1e-9
-#: Tokens carried by more sets than this are matched together with a second token.
-HOT_TOKEN = 200
+#: 64-bit words of the bitmap of a set.
+WORDS = 16
+
+
+def ranked_sets(left: DataFrame, right: DataFrame, items: str, carry: Sequence[str] = ()) -> DataFrame:
+    """Both sides' sets with their tokens in the global order: what every threshold starts from.
+
+    Gives (side, id, ``carry``…, size, tokens, skipped, bits): ``tokens`` are the tokens that both sides
+    know, rarest first, and ``skipped`` counts the others, which come before them in the order and cannot
+    bring a pair together. ``bits`` are the parities of the tokens at each of 64 x WORDS places.
+    Written out, so the texts behind the sets are counted and ranked once.
+    """
+    carry = list(carry)
+    columns = ["id", *carry, F.size(items).alias("size"), F.explode(items).alias("item")]
+    words = left.select(F.lit(1).alias("side"), *columns).unionAll(
+        right.select(F.lit(2).alias("side"), *columns)
+    )
+    counts = words.groupBy("item").agg(
+        F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")
+    )
+    shared = counts.filter("n1 > 0 AND n2 > 0").select("item", (F.col("n1") + F.col("n2")).alias("n"))
+    place = F.pmod(F.xxhash64("item"), F.lit(64 * WORDS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % 64)
+    words_of_bits = [
+        F.coalesce(F.bit_xor(F.when(F.floor(place / 64) == k, bit)), F.lit(0).cast("bigint")) for k in range(WORDS)
+    ]
+    return write_through(
+        words.join(shared, "item")
+        .groupBy("side", "id", *carry, "size")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("tokens"), F.array(*words_of_bits).alias("bits"))
+        .withColumn("skipped", F.col("size") - F.size("tokens"))
+    )
 
 
 def candidate_pairs(
-    left: DataFrame,
-    right: DataFrame,
-    items: str,
-    threshold: float,
-    block: Sequence[str] = (),
-    hot_token: int = HOT_TOKEN,
+    ranked: DataFrame, threshold: float, block: Sequence[str] = (), frequent: float | None = None
 ) -> DataFrame:
     """Distinct (id1, id2) that contain every pair with Jaccard >= ``threshold``.
 
-    Both inputs have a unique ``id``, the duplicate-free array ``items`` and the ``block`` columns.
-    Only pairs that agree on all ``block`` columns are looked at.
+    ``ranked`` comes from ``ranked_sets`` with the ``block`` columns carried. Only pairs that agree on all
+    ``block`` columns are looked at.
 
-    A hot token is split: its pairs must also share one of the tokens that follow it in the prefix,
-    so a token held by a third of all sets does not bring all of them together.
+    Sizes of similar sets differ by a factor of 1 / threshold at most, so the logarithm of the size is
+    part of the key. A frequent token, one that more sets hold than ``frequent`` (by default the root of
+    their number, so that a token brings no more pairs than there are sets), is split: its pairs must also share one of the tokens that follow it in the prefix, so a token held by a third
+    of all sets does not bring all of them together.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
     block = list(block)
-    key = [*block, "item"]
-    columns = ["id", *block, F.size(items).alias("size"), F.explode(items).alias("item")]
-    words = left.select(F.lit(1).alias("side"), *columns).unionAll(
-        right.select(F.lit(2).alias("side"), *columns)
-    )
-    # Tokens seen on one side only cannot bring a pair together. They come first in the token order,
-    # and because nothing can match there they need no rows at all.
-    counts = words.groupBy(*key).agg(
-        F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")
-    )
-    shared = counts.filter("n1 > 0 AND n2 > 0").select(*key, (F.col("n1") + F.col("n2")).alias("n"))
-    ranked = salted_join(words, shared, key, weight="n", spread=["side", "id"])
-
+    frequent = ranked.count() ** 0.5 if frequent is None else frequent
     need = F.ceil(threshold * F.col("size") - EPSILON).cast("int")
     ordered = (
-        ranked.groupBy("side", "id", *block, "size")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("tokens"))
-        .withColumn("need", need)
-        .withColumn("skipped", F.col("size") - F.size("tokens"))
+        ranked.withColumn("need", need)
         .withColumn("prefix", F.col("size") - F.col("need") + 1 - F.col("skipped"))
         .filter("prefix > 0")
+        # Sets that share too little with the whole other side to reach any partner.
+        .filter(F.size("tokens") >= F.col("need"))
         .withColumn("tokens", F.slice("tokens", F.lit(1), F.col("prefix") + 1))
     )
     anchors = ordered.select(
@@ -74,26 +89,47 @@ def candidate_pairs(
     )
     # Two sets may share the anchor alone only if one common token is enough for both.
     after_hot = F.when(F.col("need") <= 1, F.concat(alone, followers)).otherwise(followers)
+    # A threshold of 1 asks for equal sizes.
+    step = log(1 / threshold) * (1 + EPSILON)
+    bucket = F.floor(F.log(F.col("size")) / step) if threshold < 1 else F.col("size").cast("bigint")
     signatures = anchors.select(
-        "side", "id", *block, "size",
+        "side", "id", *block, "size", bucket.alias("bucket"),
         (F.col("skipped") + F.col("place")).alias("place"),
         F.col("anchor.item").alias("item"),
-        F.explode(F.when(F.col("anchor.n") > hot_token, after_hot).otherwise(alone)).alias("next"),
+        F.explode(F.when(F.col("anchor.n") > frequent, after_hot).otherwise(alone)).alias("next"),
     )
-    sig = [*key, "next"]
+    key = [*block, "item", "next", "bucket"]
     ones = signatures.filter("side = 1").select(
-        *sig, F.col("id").alias("id1"), F.col("size").alias("s1"), F.col("place").alias("p1")
+        *key, F.col("id").alias("id1"), F.col("size").alias("s1"), F.col("place").alias("p1")
     )
-    twos = signatures.filter("side = 2").select(
-        *sig, F.col("id").alias("id2"), F.col("size").alias("s2"), F.col("place").alias("p2")
+    near = F.array(*[F.col("bucket") + d for d in ((-1, 0, 1) if threshold < 1 else (0,))])
+    twos = signatures.filter("side = 2").withColumn("bucket", F.explode(near)).select(
+        *key, F.col("id").alias("id2"), F.col("size").alias("s2"), F.col("place").alias("p2")
     )
     s1, s2 = F.col("s1"), F.col("s2")
     # The first token two sets share and everything else they share stand at or after its places.
     reachable = F.least(s1 - F.col("p1"), s2 - F.col("p2"))
     return (
-        ones.join(twos, sig)
+        ones.join(twos, key)
         .filter((s1 >= threshold * s2 - EPSILON) & (s2 >= threshold * s1 - EPSILON))
         .filter(reachable >= threshold / (1 + threshold) * (s1 + s2) - EPSILON)
         .select("id1", "id2")
         .distinct()
     )
+
+
+def possible_pairs(pairs: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
+    """The candidates whose bitmaps allow Jaccard >= ``threshold``: no true pair is lost.
+
+    Similar sets differ in at most (1 - t) / (1 + t) of their items. Two bitmaps differ in no more places
+    than the tokens behind them, and the tokens that only one side knows differ for certain.
+    """
+    side = lambda k: ranked.filter(f"side = {k}").select(
+        F.col("id").alias(f"id{k}"), F.col("size").alias(f"s{k}"), F.col("skipped").alias(f"u{k}"), F.col("bits").alias(f"b{k}")
+    )
+    places = F.aggregate(
+        F.zip_with("b1", "b2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    )
+    most = (1 - threshold) / (1 + threshold) * (F.col("s1") + F.col("s2")) + EPSILON
+    near = pairs.join(side(1), "id1").join(side(2), "id2").filter(F.col("u1") + F.col("u2") <= most)
+    return near.filter(F.col("u1") + F.col("u2") + places <= most).select("id1", "id2")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -266,7 +267,7 @@ def _full_ngrams(n: int) -> Query:
     def build(spark, folder):
         blocked = blocking.full_ngrams(_documents(spark, folder), n, TEXTS)
         grams = F.concat(*[_ngram_digest(F.col("value")[c]) for c in TEXTS])
-        return blocked.select(grams.alias("value"), "index")
+        return blocked.select("blocking_key", grams.alias("value"), "index")
 
     return build
 
@@ -466,7 +467,7 @@ def match_year_publisher(spark, folder):
     )
     return _rounded(
         matching.similar_records(
-            left, right, TEXTS, 0.7, elements="characters", block=["year_label", "publisher"]
+            left, right, TEXTS, 0.7, elements="raw_characters", block=["year_label", "publisher"]
         )
     )
 
@@ -535,31 +536,37 @@ def cluster_count(spark, folder):
     return clusters.cluster_count(title_clusters(spark, folder))
 
 
-def _id_pairs(pairs: DataFrame) -> DataFrame:
+def _id_pairs(pairs: DataFrame, *keep: str) -> DataFrame:
     return pairs.select(
-        clusters.node("a", "rep1").alias("id1"), clusters.node("b", "rep2").alias("id2")
+        clusters.node("a", "rep1").alias("id1"), clusters.node("b", "rep2").alias("id2"), *keep
     )
 
 
+def _strict_and_loose(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Title pairs at 0.85 and at 0.5, from one written baseline, with the records behind each pair."""
+    pairs = write_through(title_pairs(spark, folder, 0.5))
+    return _id_pairs(pairs.filter("sim >= 0.85"), "n1", "n2"), _id_pairs(pairs, "n1", "n2")
+
+
 @query("clusters_first_fit")
 def clusters_first_fit(spark, folder):
-    return clusters.first_fit(_id_pairs(title_pairs(spark, folder, 0.5)))
+    members = matching.class_members(*document_sources(spark, folder), TITLE)
+    found = clusters.first_fit(_id_pairs(title_pairs(spark, folder, 0.5)))
+    return clusters.first_fit_members(found, members)
 
 
 @query("unmatched_resolved")
 def unmatched_resolved(spark, folder):
     left, right = document_sources(spark, folder)
-    records = matching.both_sides(left, right, ["index"])
+    records = matching.both_sides(left, right, RECORD_COLUMNS)
     records = records.withColumn("id", clusters.node(F.col("side"), "index"))
     return clusters.resolved_records(records, title_clusters(spark, folder))
 
 
 @query("evaluate_pairs")
 def evaluate_pairs(spark, folder):
-    found = evaluate.evaluate_pairs(
-        _id_pairs(title_pairs(spark, folder, 0.5)), _id_pairs(title_pairs(spark, folder, 0.85))
-    )
-    return _shown(found)
+    strict, loose = _strict_and_loose(spark, folder)
+    return _shown(evaluate.evaluate_pairs(loose, strict, weight=matching.pair_count()))
 
 
 @query("evaluate_blocking")
@@ -576,8 +583,7 @@ def evaluate_blocking(spark, folder):
 
 @query("pairs_subset")
 def pairs_subset(spark, folder):
-    strict = _id_pairs(title_pairs(spark, folder, 0.85))
-    loose = _id_pairs(title_pairs(spark, folder, 0.5))
+    strict, loose = _strict_and_loose(spark, folder)
     both = evaluate.pairs_contained(strict, loose).select(F.lit("85 in 50").alias("question"), "contained")
     return both.unionAll(
         evaluate.pairs_contained(loose, strict).select(F.lit("50 in 85"), "contained")
@@ -586,24 +592,27 @@ def pairs_subset(spark, folder):
 
 @query("pair_set_ops")
 def pair_set_ops(spark, folder):
-    strict = _id_pairs(title_pairs(spark, folder, 0.85))
-    loose = _id_pairs(title_pairs(spark, folder, 0.5))
+    strict, loose = _strict_and_loose(spark, folder)
     common = evaluate.common_pairs(loose, strict).withColumn("part", F.lit("common"))
     return common.unionAll(evaluate.missing_pairs(loose, strict).withColumn("part", F.lit("missing")))
 
 
 @query("blocks_equal")
 def blocks_equal(spark, folder):
+    """A blocking against one of differently spaced texts, which agrees, and two others, which do not."""
     records = part_records(spark, folder)
-    by_key = blocking.initials_hash(records, TEXTS)
-    by_value = by_key.withColumn("blocking_key", F.col("value"))
-    other = blocking.initials_ngrams(records, 2, TEXTS)
-    asked = {"ngram": other, "value": by_value}
+    by_initials = blocking.initials_hash(records, TEXTS)
+    spaced = records.withColumns({c: F.concat(F.lit("  "), F.replace(c, F.lit(" "), F.lit("\t"))) for c in TEXTS})
+    asked = {
+        "same initials": blocking.initials_hash(spaced, TEXTS),
+        "other case": blocking.initials_hash(records.withColumns({c: F.upper(c) for c in TEXTS}), TEXTS),
+        "full text": blocking.full_hash(records, TEXTS),
+    }
     frames = [
-        evaluate.blocks_equal(by_key, blocked).select(F.lit(name).alias("other"), "equal")
+        evaluate.blocks_equal(by_initials, blocked).select(F.lit(name).alias("other"), "equal")
         for name, blocked in asked.items()
     ]
-    return frames[0].unionAll(frames[1])
+    return reduce(DataFrame.unionAll, frames)
 
 
 # --------------------------------------------------------------------------------- sweeps

@@ -136,7 +136,7 @@ raw AS (
     year, publication_venue,
     CASE WHEN NOT starts_with(host, 'm ') THEN page_id::varchar END AS "index"
   FROM page_rows),
-parsed AS (SELECT * REPLACE (try_cast(year AS double) AS year) FROM raw)"""
+parsed AS (SELECT * REPLACE (CASE WHEN isfinite(try_cast(year AS double)) THEN try_cast(year AS double) END AS year) FROM raw)"""
 
 # --------------------------------------------------------------------------------- cleaning
 
@@ -177,8 +177,20 @@ ORACLE["filter_range_venue"] = f"""WITH {PAGES} SELECT * FROM parsed
 ORACLE["fill_defaults"] = f"""WITH {PAGES} SELECT * REPLACE (
   coalesce(paper_title, 'Untitled') AS paper_title, coalesce(author_names, 'unamed') AS author_names)
   FROM raw"""
-_SURROGATE = """coalesce("index", md5(concat_ws(chr(31), paper_title, author_names, year, publication_venue)))"""
-ORACLE["surrogate_ids"] = f'WITH {PAGES} SELECT * REPLACE ({_SURROGATE} AS "index") FROM raw'
+
+
+def _named(table: str, **shown: str) -> str:
+    """Rows of ``table`` with ids for those that lack one: md5 of the record's md5 and its occurrence number."""
+    key = " || ".join(
+        f"CASE WHEN {c} IS NULL THEN 'n' ELSE 'v' || length({shown.get(c, c)}) || ':' || {shown.get(c, c)} END"
+        for c in ("paper_title", "author_names", "year", "publication_venue")
+    )
+    return f"""SELECT * EXCLUDE (k, seen) REPLACE (coalesce("index", md5(k || '#' || seen)) AS "index") FROM (
+      SELECT *, row_number() OVER (PARTITION BY k, "index" IS NULL) AS seen FROM (
+        SELECT *, md5({key}) AS k FROM {table}))"""
+
+
+ORACLE["surrogate_ids"] = f"WITH {PAGES} {_named('raw')}"
 ORACLE["dedupe_records"] = f"""WITH {DOCS}
   SELECT min("index") AS "index", paper_title, author_names, year, publication_venue FROM docs
   GROUP BY paper_title, author_names, year, publication_venue"""
@@ -197,9 +209,7 @@ def _prepared() -> str:
       kept AS (SELECT * REPLACE (coalesce(paper_title, 'Untitled') AS paper_title,
           coalesce(author_names, 'unamed') AS author_names) FROM filled
         WHERE year BETWEEN 10 AND 500 AND regexp_matches(publication_venue, '(?i)EN|DE')),
-      named AS (SELECT * REPLACE (coalesce("index", md5(concat_ws(chr(31), paper_title, author_names,
-          CASE WHEN year = trunc(year) THEN year::bigint::varchar || '.0' ELSE year::varchar END,
-          publication_venue))) AS "index") FROM kept)
+      named AS ({_named('kept', year="CASE WHEN year = trunc(year) THEN year::bigint::varchar || '.0' ELSE year::varchar END")})
       SELECT {cleaned('paper_title')} AS paper_title, {normalise('author_names')} AS author_names,
         trunc(year)::int AS year, {cleaned('publication_venue')} AS publication_venue,
         {normalise('"index"')} AS "index" FROM named"""
@@ -353,7 +363,10 @@ for _n in (2, 3):
       SELECT {initials_key(TEXTS)} AS blocking_key, "index" FROM docs)
       SELECT md5(blocking_key) AS blocking_key,
         md5(array_to_string({grams('blocking_key', _n)}, '|')) AS value, "index" FROM k"""
-    ORACLE[f"block_full_ngram{_n}"] = f"""WITH {DOCS} SELECT
+    ORACLE[f"block_full_ngram{_n}"] = f"""WITH {DOCS} SELECT sha256(
+        '{{"author_names":' || to_json(CASE WHEN length(author_names) < {_n} THEN '' ELSE author_names END) ||
+        ',"paper_title":' || to_json(CASE WHEN length(paper_title) < {_n} THEN '' ELSE paper_title END) || '}}'
+      ) AS blocking_key,
       md5(array_to_string({grams('author_names', _n)}, '|')) ||
       md5(array_to_string({grams('paper_title', _n)}, '|')) AS value, "index" FROM docs"""
 ORACLE["block_length"] = f"""WITH {DOCS} SELECT
@@ -528,7 +541,7 @@ ORACLE["match_initials_ngram_jaccard"] = (
 )
 _BLOCK_CLASSES = classes("published", "year_label", "publisher", *TEXTS)
 ORACLE["match_year_publisher"] = f"""WITH {PARTS}, {_PUBLISHED}, {_BLOCK_CLASSES},
-  sets AS (SELECT *, {lower_chars('author_names')} AS s1, {lower_chars('paper_title')} AS s2 FROM classes),
+  sets AS (SELECT *, {chars('author_names')} AS s1, {chars('paper_title')} AS s2 FROM classes),
   scored AS (SELECT x.year_label, x.publisher, x.rep1, y.rep2, x.n1, y.n2,
       ({jaccard('x.s1', 'y.s1')} + {jaccard('x.s2', 'y.s2')}) / 2 AS sim
     FROM sets x JOIN sets y USING (year_label, publisher) WHERE x.n1 > 0 AND y.n2 > 0)
@@ -587,21 +600,26 @@ ORACLE["clusters_components"] = f"{_components(0.7)} SELECT cluster_id, id FROM
 ORACLE["cluster_count"] = (
     f"{_components(0.7)} SELECT count(DISTINCT cluster_id) AS clusters FROM clusters"
 )
-ORACLE["unmatched_resolved"] = f"""{_components(0.7)} SELECT id, side, "index" FROM members
-  WHERE id NOT IN (SELECT id FROM clusters WHERE id <> cluster_id)"""
-ORACLE["clusters_first_fit"] = f"""WITH RECURSIVE {title_pairs('p', 0.5)},
-  s AS (SELECT 'a:' || rep1 AS id1, 'b:' || rep2 AS id2 FROM p),
-  n AS (SELECT *, row_number() OVER (ORDER BY id1, id2) AS seq FROM s),
-  step AS (SELECT x.seq AS p, y.seq AS q FROM n x JOIN n y
+ORACLE["unmatched_resolved"] = f"""{_components(0.7).replace('WITH RECURSIVE', f'WITH RECURSIVE {DOCS},')}
+  SELECT side || ':' || "index" AS id, * FROM docs
+  WHERE side || ':' || "index" NOT IN (SELECT id FROM clusters WHERE id <> cluster_id)"""
+# Pairs of records, each with the representatives of its two classes.
+_RECORD_PAIRS = """recs AS (SELECT side, "index", paper_title,
+    min("index") OVER (PARTITION BY side, paper_title) AS rep FROM titles),
+  rp AS MATERIALIZED (SELECT 'a:' || x.rep AS rep1, 'b:' || y.rep AS rep2, 'a:' || x."index" AS id1,
+      'b:' || y."index" AS id2, sim
+    FROM p JOIN recs x ON x.side = 'a' AND x.rep = p.rep1 JOIN recs y ON y.side = 'b' AND y.rep = p.rep2)"""
+ORACLE["clusters_first_fit"] = f"""WITH RECURSIVE {title_pairs('p', 0.5)}, {_RECORD_PAIRS},
+  n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY rep1, rep2, id1, id2) AS seq FROM rp),
+  step AS MATERIALIZED (SELECT x.seq AS p, y.seq AS q FROM n x JOIN n y
     ON y.seq < x.seq AND (x.id1 = y.id1 OR x.id2 = y.id2)),
   up(p, q) AS (SELECT seq, seq FROM n UNION SELECT up.p, step.q FROM up JOIN step ON up.q = step.p),
   label AS (SELECT p AS seq, min(q) AS first FROM up GROUP BY p),
   held AS (SELECT first, unnest([id1, id2]) AS id FROM n JOIN label USING (seq))
   SELECT DISTINCT f.id1 || '|' || f.id2 AS cluster_id, held.id FROM held JOIN n f ON f.seq = first"""
 
-_LOOSE_STRICT = f"""WITH {title_pairs('p', 0.5)},
-  loose AS (SELECT 'a:' || rep1 AS id1, 'b:' || rep2 AS id2 FROM p),
-  strict_pairs AS (SELECT 'a:' || rep1 AS id1, 'b:' || rep2 AS id2 FROM p WHERE sim >= 0.85)"""
+_LOOSE_STRICT = f"""WITH {title_pairs('p', 0.5)}, {_RECORD_PAIRS},
+  loose AS (SELECT id1, id2 FROM rp), strict_pairs AS (SELECT id1, id2 FROM rp WHERE sim >= 0.85)"""
 _METRICS = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
   round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
   round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn))
@@ -615,15 +633,23 @@ ORACLE["pairs_subset"] = f"""{_LOOSE_STRICT}
   SELECT '85 in 50' AS question, NOT EXISTS (SELECT * FROM strict_pairs EXCEPT SELECT * FROM loose) AS contained
   UNION ALL
   SELECT '50 in 85', NOT EXISTS (SELECT * FROM loose EXCEPT SELECT * FROM strict_pairs)"""
-ORACLE["pair_set_ops"] = f"""{_LOOSE_STRICT}
-  SELECT id1, id2, 'common' AS part FROM (SELECT * FROM loose INTERSECT SELECT * FROM strict_pairs)
-  UNION ALL
-  SELECT id1, id2, 'missing' FROM (SELECT * FROM loose EXCEPT SELECT * FROM strict_pairs)"""
+ORACLE["pair_set_ops"] = f"""{_LOOSE_STRICT}, c AS (
+    SELECT *, 'common' AS part FROM (SELECT * FROM loose INTERSECT SELECT * FROM strict_pairs) UNION ALL
+    SELECT *, 'missing' FROM (SELECT * FROM loose EXCEPT SELECT * FROM strict_pairs))
+  SELECT rep1 AS id1, rep2 AS id2, count(DISTINCT id1) AS n1, count(DISTINCT id2) AS n2, part
+  FROM c JOIN rp USING (id1, id2) GROUP BY ALL"""
+_UPPER = initials_key(TEXTS).replace("author_names", upper("author_names")).replace("paper_title", upper("paper_title"))
 ORACLE["blocks_equal"] = f"""WITH {PARTS},
   k AS (SELECT {initials_key(TEXTS)} AS b, "index" FROM parts),
-  v AS (SELECT md5(b) AS b, "index" FROM k)
-  SELECT 'ngram' AS other, NOT EXISTS (SELECT * FROM k EXCEPT SELECT * FROM k) AS equal UNION ALL
-  SELECT 'value', NOT EXISTS (SELECT * FROM k EXCEPT SELECT * FROM v)"""
+  t AS (SELECT array_to_string(list_transform(list_filter(string_split(author_names || ' ' || paper_title, ' '),
+      lambda w: w <> ''), lambda w: w[1:1]), '') AS b, "index" FROM parts),
+  u AS (SELECT {_UPPER} AS b, "index" FROM parts),
+  f AS (SELECT md5(author_names || paper_title) AS b, "index" FROM parts)
+  SELECT 'same initials' AS other, NOT EXISTS (SELECT * FROM k EXCEPT SELECT * FROM t) AND
+    NOT EXISTS (SELECT * FROM t EXCEPT SELECT * FROM k) AS equal UNION ALL
+  SELECT 'other case', NOT EXISTS (SELECT * FROM k EXCEPT SELECT * FROM u) AND
+    NOT EXISTS (SELECT * FROM u EXCEPT SELECT * FROM k) UNION ALL
+  SELECT 'full text', NOT EXISTS (SELECT * FROM k EXCEPT SELECT * FROM f)"""
 
 
 def _scores(keys: dict[str, str], table: str, pair_tables: dict[float, str]) -> str:

@@ -16,25 +16,19 @@ LANGUAGES = ("en", "de")
 BRANDS = ("Brand#1", "Brand#2")
 
 
-#: A table below this many bytes on disk may well sit in a single row group.
-SMALL = 1 << 28
-
-
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{table}.parquet"))
 
 
 def read_text(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table with long texts, shared out over all cores.
+    """A table with long texts.
 
-    One row group is read by one task, which would then do all the text work of a small table. A large
-    table has row groups enough, so it is left as it is.
+    One row group is read by one task. Whoever has files of few, large row groups can set
+    ``pairloom.text.partitions`` to have their rows dealt out first.
     """
     df = read(spark, folder, table)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < SMALL:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    partitions = spark.conf.get("pairloom.text.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def document_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +50,7 @@ def document_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     records = document_records(spark, folder)
-    first = F.col("source").isin(*FIRST_COLLECTIONS)
+    first = F.coalesce(F.col("source").isin(*FIRST_COLLECTIONS), F.lit(False))
     return records.filter(first).drop("source"), records.filter(~first).drop("source")
 
 
@@ -76,7 +70,7 @@ def part_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def part_sources(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     records = part_records(spark, folder)
-    first = F.col("publication_venue").isin(*FIRST_BRANDS)
+    first = F.coalesce(F.col("publication_venue").isin(*FIRST_BRANDS), F.lit(False))
     return records.filter(first), records.filter(~first)
 
 

@@ -8,8 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Paths written through and not yet released.
-_written: list[str] = []
+#: Paths written through and not yet released, by application.
+_written: dict[str, list[str]] = {}
 
 
 def local_session(cores: str = "8", name: str = "pairloom") -> SparkSession:
@@ -20,6 +20,7 @@ def local_session(cores: str = "8", name: str = "pairloom") -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cores)
+        .config("pairloom.text.partitions", cores)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -52,14 +53,15 @@ def write_through(df: DataFrame) -> DataFrame:
     """
     path = os.path.join(shared_folder(df.sparkSession), f"pairloom-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables this process has written through."""
+    """Delete the tables that this application has written through."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = hadoop.Path(_written.pop())
+    written = _written.pop(spark.sparkContext.applicationId, [])
+    while written:
+        path = hadoop.Path(written.pop())
         path.getFileSystem(conf).delete(path, True)

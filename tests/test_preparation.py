@@ -88,8 +88,8 @@ def test_cluster_lines(spark, tmp_path):
     rows = [("c", "2"), ("c", "1")] + [("big", str(i)) for i in range(50)]
     held = spark.createDataFrame(rows, "cluster_id string, id string")
     lines = [r.value for r in writers.cluster_lines(held, 10).collect()]
-    assert "Cluster c: {1, 2}" in lines
-    big = [line for line in lines if line.startswith("Cluster big")]
+    assert "Cluster c.0: {1, 2}" in lines
+    big = [line for line in lines if line.startswith("Cluster big.")]
     ids = [i for line in big for i in line[line.index("{") + 1 : -1].split(", ")]
     assert len(big) > 1 and sorted(ids) == sorted(str(i) for i in range(50))
     writers.write_clusters(held, str(tmp_path / "c"))
