@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.functions.text import character_set, let
 
-# Code points below this are left out of the token alphabet (controls and ASCII).
+# Symbols of common tokens come after this code point; controls and ASCII are left out.
 _FIRST_SYMBOL = 256
 
 
@@ -38,28 +38,44 @@ def exact_sets(a: Column, b: Column) -> Column:
     return exact(F.array_sort(a), F.array_sort(b))
 
 
-def _spell(tokens: Column, alphabet: Column) -> Column:
-    """Write a token list as a string with one symbol per token."""
-    codes = F.transform(
-        tokens,
-        lambda t: F.lpad(F.hex(F.array_position(alphabet, t) + _FIRST_SYMBOL), 4, "0"),
-    )
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
+def _spell(own: Column, common: Column, other: int) -> Column:
+    """Write a sorted token set as a string with one symbol per token.
+
+    A token of both sets has the symbol of its place among the ``common`` ones; one that only this set
+    holds (``own``) can equal nothing, so all of them share the symbol ``other``.
+    """
+    numbered = F.transform(common, lambda t, i: F.struct(t.alias("t"), (i + _FIRST_SYMBOL + 1).alias("symbol")))
+    alone = F.transform(own, lambda t: F.struct(t.alias("t"), F.lit(other).alias("symbol")))
+
+    def code(token: Column) -> Column:
+        # The surrogates are no characters.
+        symbol = F.when(token["symbol"] >= 0xD800, token["symbol"] + 0x800).otherwise(token["symbol"])
+        return F.lpad(F.hex(symbol), 8, "0")
+
+    symbols = F.transform(F.sort_array(F.concat(numbered, alone)), code)
+    return F.decode(F.unhex(F.array_join(symbols, "")), "UTF-32")
 
 
-def edit_tokens(a: Column, b: Column) -> Column:
+def edit_tokens(a: Column, b: Column, least: float = 0.0) -> Column:
     """1 - d / (|a| + |b|), d the edit distance between both token sets in sorted order.
 
-    Each token becomes one symbol of an alphabet made for the pair, which lets the built-in string
-    distance work on tokens. Two empty sets score 0.
+    Each token becomes one symbol, which lets the built-in string distance work on tokens; sets may have
+    a million tokens in common. Two empty sets score 0. Scores below ``least`` may come out as 0, which
+    spares most of the work.
     """
+    size = F.size(a) + F.size(b)
+    limit = F.floor((1 - least) * size + 1e-9).cast("int")
     distance = let(
-        F.array_union(a, b),
-        lambda alphabet: F.levenshtein(
-            _spell(F.array_sort(a), alphabet), _spell(F.array_sort(b), alphabet)
+        F.sort_array(F.array_intersect(a, b)),
+        lambda common: F.call_function(
+            "levenshtein",
+            _spell(F.array_except(a, b), common, _FIRST_SYMBOL - 1),
+            _spell(F.array_except(b, a), common, _FIRST_SYMBOL),
+            limit,
         ),
     )
-    return F.coalesce(1 - F.try_divide(distance, F.size(a) + F.size(b)), F.lit(0.0)).cast("double")
+    score = let(distance, lambda d: F.when(d >= 0, 1 - F.try_divide(d, size)))
+    return F.coalesce(score, F.lit(0.0)).cast("double")
 
 
 def edit_characters(a: Column, b: Column) -> Column:

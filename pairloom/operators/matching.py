@@ -18,12 +18,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.functions.similarity import MEASURES
-from pairloom.functions.text import character_set, lower_character_set, token_set
+from pairloom.functions.text import character_set, lower_character_set, ngrams, token_set
 from pairloom.operators.setjoin import EPSILON, candidate_pairs, possible_pairs, ranked_sets
 from pairloom.session import write_through
 
 #: What a text is taken as a set of; ``characters`` are those of its lower-cased tokens, ``raw_characters`` all.
-ELEMENTS = {"tokens": token_set, "characters": lower_character_set, "raw_characters": character_set}
+ELEMENTS = {
+    "tokens": token_set,
+    "characters": lower_character_set,
+    "raw_characters": character_set,
+    "bigrams": lambda text: F.array_distinct(ngrams(text, 2)),
+    "trigrams": lambda text: F.array_distinct(ngrams(text, 3)),
+}
 
 
 def both_sides(left: DataFrame, right: DataFrame, columns: Sequence[str | Column]) -> DataFrame:
@@ -208,6 +214,9 @@ def similar_records(
         *[F.col(c).alias(f"b_{c}") for c in single],
     )
     summed = list(order or [*texts, *single])
+    # With all other columns at 1, a column must bring at least this.
+    least = max(0.0, len(summed) * threshold - (len(summed) - 1) - EPSILON)
+    exact = (lambda a, b: kind.score(a, b, least)) if measure == "edit" else kind.score
 
     def mean(score) -> Column:
         parts = {c: score(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in texts}
@@ -220,7 +229,7 @@ def similar_records(
     if kind.ceiling is not None:
         pairs = pairs.filter(mean(kind.ceiling) >= threshold - EPSILON)
     return pairs.select(
-        *block, "rep1", "rep2", "n1", "n2", mean(kind.score).alias("sim")
+        *block, "rep1", "rep2", "n1", "n2", mean(exact).alias("sim")
     ).filter(passes(F.col("sim"), threshold, strict))
 
 

@@ -15,10 +15,13 @@ from math import log
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.functions.text import let
 from pairloom.session import write_through
 
 #: Slack for rounding: a filter may keep too much but never drop a true pair.
 EPSILON = 1e-9
+#: Above this threshold frequent tokens are taken in pairs of neighbours.
+PAIRED = 0.6
 #: 64-bit words of the bitmap of a set.
 WORDS = 16
 
@@ -62,42 +65,54 @@ def candidate_pairs(
     ``block`` columns are looked at.
 
     Sizes of similar sets differ by a factor of 1 / threshold at most, so the logarithm of the size is
-    part of the key. A frequent token, one that more sets hold than ``frequent`` (by default the root of
-    their number, so that a token brings no more pairs than there are sets), is split: its pairs must also share one of the tokens that follow it in the prefix, so a token held by a third
-    of all sets does not bring all of them together.
+    part of the key. Rare tokens, which at most ``frequent`` sets hold (by default the root of the number of
+    sets, so that a token brings no more pairs than there are sets), are keys of their own. Above a
+    threshold of ``PAIRED`` frequent tokens are keys only together with the next token of the set:
+
+    similar sets have 2 |x - y| + |y - x| <= 2 (1 - t) |x|. If no rare token is shared, all ``absent`` unshared and rare
+    tokens of x are among x - y. Each further token of x alone breaks at most two neighbourhoods of frequent
+    tokens and each one of y alone at most one, so among the first floor(2 (1 - t) |x|) - 2 absent + 2 frequent
+    tokens one neighbourhood is whole in both. Sets too small to have so many keep all tokens as single keys.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
     block = list(block)
     frequent = ranked.count() ** 0.5 if frequent is None else frequent
-    need = F.ceil(threshold * F.col("size") - EPSILON).cast("int")
+    size, none = F.col("size"), F.lit("")
+    need = F.ceil(threshold * size - EPSILON).cast("int")
+    rare = F.size(F.filter("tokens", lambda t: t["n"] <= frequent))
     ordered = (
+        # Sets that share too little with the whole other side to reach any partner go at once.
         ranked.withColumn("need", need)
-        .withColumn("prefix", F.col("size") - F.col("need") + 1 - F.col("skipped"))
-        .filter("prefix > 0")
-        # Sets that share too little with the whole other side to reach any partner.
         .filter(F.size("tokens") >= F.col("need"))
-        .withColumn("tokens", F.slice("tokens", F.lit(1), F.col("prefix") + 1))
+        .withColumn("rare", rare)
     )
-    anchors = ordered.select(
-        "side", "id", *block, "size", "need", "skipped", "tokens",
-        F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("place", "anchor"),
-    )
-    alone = F.array(F.lit(""))
-    followers = F.transform(
-        F.slice("tokens", F.col("place") + 2, F.size("tokens")), lambda t: t["item"]
-    )
-    # Two sets may share the anchor alone only if one common token is enough for both.
-    after_hot = F.when(F.col("need") <= 1, F.concat(alone, followers)).otherwise(followers)
-    # A threshold of 1 asks for equal sizes.
+    prefix = F.greatest(size - F.col("need") + 1 - F.col("skipped"), F.lit(0))
+    kind = "array<struct<item:string,next:string,place:int>>"
+    every = F.transform(
+        F.slice("tokens", F.lit(1), prefix),
+        lambda t, i: F.struct(t["item"].alias("item"), none.alias("next"), (F.col("skipped") + i).alias("place")),
+    ).cast(kind)
+    if threshold <= PAIRED:
+        keys = every
+    else:
+        small = size * threshold < 2 / (2 * threshold - 1) + 1
+        singles = F.when(small, every).otherwise(F.slice(every, F.lit(1), F.col("rare")))
+        absent = F.col("skipped") + F.col("rare")
+        spare = F.floor(2 * (1 - threshold) * size + EPSILON).cast("int") - 2 * absent
+        run = F.slice("tokens", F.col("rare") + 1, F.greatest(spare + 2, F.lit(0)))
+        pairs = let(
+            run,
+            lambda r: F.transform(
+                F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))),
+                lambda t, i: F.struct(t["item"].alias("item"), F.get(r, i + 1)["item"].alias("next"), F.col("skipped").alias("place")),
+            ),
+        ).cast(kind)
+        paired = (absent <= size - F.col("need")) & (spare >= 0)
+        keys = F.concat(singles, F.when(paired, pairs).otherwise(F.array().cast(kind)))
     step = log(1 / threshold) * (1 + EPSILON)
-    bucket = F.floor(F.log(F.col("size")) / step) if threshold < 1 else F.col("size").cast("bigint")
-    signatures = anchors.select(
-        "side", "id", *block, "size", bucket.alias("bucket"),
-        (F.col("skipped") + F.col("place")).alias("place"),
-        F.col("anchor.item").alias("item"),
-        F.explode(F.when(F.col("anchor.n") > frequent, after_hot).otherwise(alone)).alias("next"),
-    )
+    bucket = F.floor(F.log(size) / step) if threshold < 1 else size.cast("bigint")
+    signatures = ordered.select("side", "id", *block, "size", "skipped", bucket.alias("bucket"), F.inline(keys))
     key = [*block, "item", "next", "bucket"]
     ones = signatures.filter("side = 1").select(
         *key, F.col("id").alias("id1"), F.col("size").alias("s1"), F.col("place").alias("p1")

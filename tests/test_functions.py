@@ -132,3 +132,13 @@ def test_sets_by_column_type_and_in_sql(spark):
         "FROM VALUES (array('x', 'y'), array('y', 'z')) t(a, b)"
     ).first()
     assert tuple(found) == pytest.approx((1 / 3, 0.5, 0.0))
+
+
+@pytest.mark.parametrize("size", [300, 60_000, 70_000])
+def test_edit_similarity_of_many_tokens(spark, size):
+    """Beyond what one code unit can number: three tokens differ, in the middle and at both ends."""
+    names = [f"t{i:06d}" for i in range(size)]
+    other = ["s0", *names[1 : size // 2], "t" + names[size // 2][1:] + "x", *names[size // 2 + 1 : -1], "u0"]
+    df = spark.createDataFrame([(names, other)], "a array<string>, b array<string>")
+    score = df.select(similarity.edit_tokens(F.col("a"), F.col("b"), 0.99)).first()[0]
+    assert score == pytest.approx(1 - 3 / (2 * size), abs=1e-12)

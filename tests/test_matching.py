@@ -88,7 +88,7 @@ def test_threshold_without_a_bound_is_refused(sources):
         matching.similar_records(left, right, ["paper_title"], 0.5, measure="edit")
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.7, 1.0])
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.61, 0.7, 0.85, 1.0])
 @pytest.mark.parametrize("frequent", [0, 3, None, 10_000])
 def test_frequent_tokens_lose_no_pair(sources, threshold, frequent):
     left_rows, left, right_rows, right = sources
@@ -180,3 +180,28 @@ def test_nested_and_stats(spark):
     }
     stats = blocking.block_stats(blocking.initials_hash(edge_records(spark), ["paper_title"])).first()
     assert (stats.blocks, stats.records, stats.pairs) == (3, 5, 3)
+
+
+@pytest.mark.parametrize("threshold", [0.62, 0.7, 0.8, 0.9])
+def test_neighbouring_tokens_lose_no_pair(spark, threshold):
+    """Sets of all sizes whose tokens are nearly all frequent."""
+    rng = random.Random(int(threshold * 100))
+    sides = []
+    for _ in range(2):
+        rows = []
+        for i in range(150):
+            base = rng.choice([[f"a{k}" for k in range(n)] for n in (1, 2, 3, 4, 6, 9, 14, 30)])
+            kept = [t for t in base if rng.random() > 0.12] + [f"z{rng.randint(0, 40)}" for _ in range(rng.randint(0, 2))]
+            rows.append((i, sorted(set(kept))))
+        sides.append(rows)
+    frames = [spark.createDataFrame(rows, "id int, s array<string>") for rows in sides]
+    ranked = ranked_sets(*frames, "s")
+    expected = set()
+    for (i, a), (j, b) in product(*sides):
+        common = len(set(a) & set(b))
+        if a and b and common >= threshold * (len(a) + len(b) - common):
+            expected.add((i, j))
+    for frequent in (0, 5, None, 1000):
+        pairs = possible_pairs(candidate_pairs(ranked, threshold, frequent=frequent), ranked, threshold)
+        assert {tuple(r) for r in pairs.collect()} >= expected
+    assert len(expected) > 100

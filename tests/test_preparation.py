@@ -22,7 +22,7 @@ def test_citations(spark, tmp_path):
     assert rows["First  title"]["index"] == "007" and rows["First  title"].author_names == "A. One, B. Two"
     assert rows["Later title"].year == "unknown" and rows[None].year == "2001"
     (tmp_path / "w.txt").write_bytes(CITATIONS.replace("\n", "\r\n").encode())
-    windows = readers.read_citations(spark, str(tmp_path / "w.txt"), crlf=True).collect()
+    windows = readers.read_citations(spark, str(tmp_path / "w.txt")).collect()
     assert sorted(map(str, windows)) == sorted(map(str, rows.values()))
 
 
