@@ -8,7 +8,7 @@ a merge are looked up again.
 
 Pre-tokens beyond ``LONGEST`` bytes would make a row whose rounds cost its length each; they follow the same rule
 (least rank first, leftmost on ties) with a heap instead, so that nothing is cut. A pre-token that is itself in the
-vocabulary is its one id. Texts are cut at spaces as in ``tokens``; pieces are remembered in a bounded memo.
+vocabulary is its one id. Texts are cut as in ``tokens``; pieces are remembered in a bounded memo.
 
 Defined cases: a null text counts as empty: no ids, and the digests of no bytes; rows are independent, so ties and
 repeated rows need nothing; other columns are not read.
@@ -104,7 +104,7 @@ class Coder:
         self.pairs = PairTable(np.array(pairs, np.uint64), np.array(ranks, np.int32))
         self.rank_of = dict(zip(pairs, ranks))
         self.single = np.array([self.id_of[bytes([b])] for b in range(256)], np.int32)
-        self.pieces = Recent(lambda pieces: self._encode_whole([f" {p.decode()}" for p in pieces]))
+        self.pieces = Recent(lambda pieces: self._encode_whole([p.decode() for p in pieces]))
 
     # ------------------------------------------------------------------ pre-tokens
 
@@ -197,7 +197,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as bytes of little-endian unsigned 32-bit integers."""
-        return encode_by_pieces(texts, self._encode_whole, self.pieces) if texts else []
+        return encode_by_pieces(texts, self._encode_whole, self.pieces)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

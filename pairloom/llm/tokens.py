@@ -1,9 +1,10 @@
 """Token ids of whole texts with a vocabulary file of the ``tokenizers`` library.
 
-The library's byte-level pattern always breaks a text between a non-space and a space. A text is
-therefore cut at its spaces; each distinct piece is encoded by the library once and remembered, and the
-ids of a text are those of its pieces in order. Equal pieces of a step are found by ``spans.distinct``. Texts whose white space would be cut wrongly that way
-(a space between other white space) go through the library whole. Results are those of ``encode``.
+The library's byte-level pattern always breaks a text between a non-space and a space, between an ASCII letter and
+punctuation, and after a lone line break. A text is therefore cut there; each distinct piece is encoded by the library
+once and remembered, and the ids of a text are those of its pieces in order. Equal pieces of a step are found by
+``spans.distinct``. Texts whose white space would be cut wrongly that way (a space between other white space) go
+through the library whole. Results are those of ``encode``.
 """
 
 from __future__ import annotations
@@ -19,46 +20,53 @@ from pairloom.llm.spans import distinct
 
 #: A space inside a run of white space that does not end it, or one that ends the text in a run.
 _ODD = re.compile(r"\s (?!\S)")
-#: Pieces that the library is given as one text; white space never joins two of them.
+#: Pieces that the pattern leaves whole for certain: Latin letters, with a space before them or not.
+_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Pieces that the library is given as one text.
 _TOGETHER = 256
 
+_LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x21:0x7F] = True
+
 _encoders: dict[str, "Encoder"] = {}
 
 
-def encode_by_pieces(texts: list[str], heads: Callable[[list[str]], list[bytes]], after_space: Recent) -> list[bytes]:
-    """Ids of texts that are cut at their spaces.
-
-    ``heads`` encodes what stands before the first space, and texts that must stay whole; ``after_space``
-    knows the ids of a piece (as UTF-8) with a space before it.
-    """
-    whole = [bool(_ODD.search(t)) for t in texts]
-    joined = " ".join(["" if w else t for t, w in zip(texts, whole)])
-    raw = np.frombuffer(joined.encode(), np.uint8)
-    spaces = np.flatnonzero(raw == 32)
-    first, last = np.append(0, spaces + 1), np.append(spaces, len(raw))
-    counts = np.array([1 if w else t.count(" ") + 1 for t, w in zip(texts, whole)])
-    head = np.cumsum(counts) - counts
-    codes, sample = distinct(raw, first, last)
-    is_head = np.zeros(len(codes), bool)
-    is_head[head] = True
-    used = np.unique(codes[~is_head])
-    view = raw.tobytes()
-    keys = [view[a:b] for a, b in zip(first[sample[used]].tolist(), last[sample[used]].tolist())]
-    known = after_space.known(keys)
-    pool = [*map(known.__getitem__, keys)]
-    pool += heads([t if w else t.partition(" ")[0] for t, w in zip(texts, whole)])
-    place = np.zeros(len(sample), np.int64)
-    place[used] = np.arange(len(used))
-    entry = place[codes]
-    entry[head] = len(used) + np.arange(len(texts))
-    ids = np.frombuffer(b"".join(pool), "<u4")
-    sizes = np.array([len(p) // 4 for p in pool], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    lengths = sizes[entry]
-    ends = np.cumsum(lengths)
-    found = ids[np.arange(ends[-1]) + np.repeat(starts[entry] - (ends - lengths), lengths)].tobytes()
-    cuts = (4 * np.append(0, ends[head + counts - 1])).tolist()
-    return [found[a:b] for a, b in zip(cuts, cuts[1:])]
+def encode_by_pieces(texts: list[str], whole: Callable[[list[str]], list[bytes]], pieces: Recent) -> list[bytes]:
+    """Ids of texts that are cut into pieces: ``pieces`` knows the ids of a piece (as UTF-8), ``whole`` encodes
+    texts that must not be cut."""
+    odd = [k for k, t in enumerate(texts) if _ODD.search(t)]
+    parts = [t.encode() for t in texts]
+    for k in odd:
+        parts[k] = b""
+    view = b"".join(parts)
+    raw = np.frombuffer(view, np.uint8)
+    stops = np.cumsum([0, *map(len, parts)])
+    begins = raw == 32
+    begins[1:] |= _LETTER[raw[:-1]] & _PUNCTUATION[raw[1:]]
+    begins[2:] |= _PLAIN[raw[:-2]] & (raw[1:-1] == 10) & _PLAIN[raw[2:]]
+    begins[stops[:-1][stops[:-1] < len(raw)]] = True
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(raw))[: len(first)]
+    made: list[bytes] = [b""] * len(texts)
+    if len(first):
+        codes, sample = distinct(raw, first, last)
+        keys = [view[a:b] for a, b in zip(first[sample].tolist(), last[sample].tolist())]
+        pool = [*map(pieces.known(keys).__getitem__, keys)]
+        ids = np.frombuffer(b"".join(pool), "<u4")
+        sizes = np.array([len(p) // 4 for p in pool], np.int64)
+        lengths = sizes[codes]
+        ends = np.append(0, np.cumsum(lengths))
+        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], lengths)
+        at += np.arange(len(at))
+        found = ids[at].tobytes()
+        cuts = (4 * ends[np.searchsorted(first, stops)]).tolist()
+        made = [found[a:b] for a, b in zip(cuts, cuts[1:])]
+    for k, ids in zip(odd, whole([texts[k] for k in odd]) if odd else ()):
+        made[k] = ids
+    return made
 
 
 class Encoder:
@@ -66,41 +74,49 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs one task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        # The same model behind a pattern that breaks at line ends alone, for pieces that are words already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         size = self.library.get_vocab_size()
         # In a byte-level vocabulary every character of a token stands for one byte.
         self.width = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.pieces = Recent(self._after_space)
+        self.character = _byte_characters()
+        self.pieces = Recent(self._encode_pieces)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4") for x in found]
-
-    def _after_space(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece with a space before it."""
-        groups = [pieces[i : i + _TOGETHER] for i in range(0, len(pieces), _TOGETHER)]
-        texts = [" " + b" ".join(group).decode() for group in groups]
-        # As with texts, white space may forbid to put some together.
-        plain = [not _ODD.search(text) for text in texts]
-        together = iter(self.whole([t for t, p in zip(texts, plain) if p]))
-        alone = iter(self.whole([f" {x.decode()}" for g, p in zip(groups, plain) if not p for x in g]))
-        made: list[bytes] = []
-        for group, p in zip(groups, plain):
-            if not p:
-                made += [next(alone).tobytes() for _ in group]
-                continue
-            ids = next(together)
-            stops = np.cumsum([len(x) + 1 for x in group])
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        made: dict[bytes, bytes] = {}
+        texts = [p.decode() for p in pieces]
+        plain = [p for p, text in zip(pieces, texts) if _WORD.fullmatch(text)]
+        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
+        lines = [b"\n".join(g).decode("latin-1").translate(self.character) for g in groups]
+        for group, found in zip(groups, self.of_words.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            stops = np.cumsum([*map(len, group)])
             cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.width[ids]), stops) + 1)).tolist()]
             raw = ids.tobytes()
-            made += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        return made
+            made.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        rest = [(p, text) for p, text in zip(pieces, texts) if p not in made]
+        made.update(zip([p for p, _ in rest], self.whole([text for _, text in rest])))
+        return [made[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return encode_by_pieces(texts, lambda heads: [x.tobytes() for x in self.whole(heads)], self.pieces) if texts else []
+        return encode_by_pieces(texts, self.whole, self.pieces)
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 characters stand for
+    themselves and the others, in order, follow from U+0100. Line ends are left as they are."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(0x100 + k) for k, b in enumerate(others) if b != 0x0A}
 
 
 def encoder(path: str) -> Encoder:
