@@ -33,7 +33,8 @@ from pairloom.plans.tables import (
     read_text,
 )
 from pairloom.schema import RECORD_COLUMNS
-from pairloom.session import write_through
+from pairloom.session import scratch_path, write_through
+from pairloom.sources import readers, writers
 from pairloom.sources.readers import parse_citations
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,9 +170,8 @@ def stem_titles(spark, folder):
     return _titles(spark, folder, lambda text: stem_words(normalise(strip_punctuation(text))))
 
 
-@query("parse_citations")
-def parse_citation_text(spark, folder):
-    """Writes every document as a tagged citation block and parses it back."""
+def _citation_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a tagged citation block."""
     records = document_records(spark, folder)
     one_line = F.regexp_replace("paper_title", r"\s+", " ")
     block = F.concat(
@@ -181,7 +181,12 @@ def parse_citation_text(spark, folder):
         F.lit("\n#c"), F.col("publication_venue"),
         F.lit("\n#index"), F.col("index"),
     )
-    return parse_citations(records.select(block.alias("value")))
+    return records.select(block.alias("value"))
+
+
+@query("parse_citations")
+def parse_citation_text(spark, folder):
+    return parse_citations(_citation_blocks(spark, folder))
 
 
 @query("prepare_records")
@@ -196,6 +201,47 @@ def prepare_records_stemmed(spark, folder):
     return clean.prepare(page_records(spark, folder), reproducible_ids=True, **PAGE_RANGE)
 
 
+# ------------------------------------------------------------- files, written and read back
+
+
+@query("roundtrip_citations")
+def roundtrip_citations(spark, folder):
+    """Documents as a tagged citation file with CR LF and spaced blank lines, read again."""
+    path = scratch_path(spark)
+    _citation_blocks(spark, folder).write.option("lineSep", "\r\n \t\r\n").text(path)
+    return readers.read_citations(spark, path)
+
+
+@query("roundtrip_records")
+def roundtrip_records(spark, folder):
+    path = scratch_path(spark)
+    writers.write_records(prepare_records(spark, folder), path)
+    return readers.read_records(spark, path)
+
+
+@query("roundtrip_pairs")
+def roundtrip_pairs(spark, folder):
+    path = scratch_path(spark)
+    pairs = title_pairs(spark, folder, 0.7)
+    writers.write_pairs(pairs.select(F.col("rep1").alias("id1"), F.col("rep2").alias("id2")), path)
+    return readers.read_pairs(spark, path)
+
+
+@query("roundtrip_scores")
+def roundtrip_scores(spark, folder):
+    path = scratch_path(spark)
+    pairs = _rounded(title_pairs(spark, folder, 0.7))
+    writers.write_scored_pairs(pairs, path)
+    return spark.read.schema(pairs.schema).csv(path, header=True)
+
+
+@query("roundtrip_clusters")
+def roundtrip_clusters(spark, folder):
+    path = scratch_path(spark)
+    writers.write_clusters(title_clusters(spark, folder), path)
+    return readers.read_clusters(spark, path)
+
+
 # ------------------------------------------------------------------------------ profiling
 
 
@@ -403,9 +449,9 @@ def title_pairs(spark: SparkSession, folder: str, threshold: float, **options) -
     return matching.similar_records(*document_sources(spark, folder), TITLE, threshold, **options)
 
 
-def baseline_pairs(spark: SparkSession, folder: str, threshold: float) -> DataFrame:
+def baseline_pairs(spark: SparkSession, folder: str, threshold: float, measure: str = "jaccard") -> DataFrame:
     return matching.similar_records(
-        *document_sources(spark, folder), TEXTS, threshold, single=SINGLE, order=BASELINE_ORDER
+        *document_sources(spark, folder), TEXTS, threshold, single=SINGLE, order=BASELINE_ORDER, measure=measure
     )
 
 
@@ -413,8 +459,8 @@ def _title_baseline(threshold: float, **options) -> Query:
     return lambda spark, folder: _rounded(title_pairs(spark, folder, threshold, **options))
 
 
-def _baseline(threshold: float) -> Query:
-    return lambda spark, folder: _rounded(baseline_pairs(spark, folder, threshold))
+def _baseline(threshold: float, **options) -> Query:
+    return lambda spark, folder: _rounded(baseline_pairs(spark, folder, threshold, **options))
 
 
 def _exact_baseline(threshold: float) -> Query:
@@ -443,6 +489,43 @@ for _percent, _t in ((70, 0.7), (85, 0.85)):
     QUERIES[f"baseline_dice_chars_{_percent}"] = _part_baseline("dice", _t, "characters")
     QUERIES[f"baseline_edit_title_{_percent}"] = _title_baseline(_t, measure="edit")
     QUERIES[f"baseline_edit_{_percent}"] = _part_baseline("edit", _t)
+    QUERIES[f"baseline_dice_all_{_percent}"] = _baseline(_t, measure="dice")
+
+
+@query("baseline_edit_all_85")
+def baseline_edit_all_85(spark, folder):
+    return _rounded(
+        matching.similar_records(
+            *part_sources(spark, folder), TEXTS, 0.85, single=SINGLE, order=BASELINE_ORDER, measure="edit"
+        )
+    )
+
+
+def _full_ngram_jaccard(elements: str) -> Query:
+    """Part names and types whose n-gram sets have a mean Jaccard similarity of 0.7."""
+
+    def build(spark, folder):
+        return _rounded(matching.similar_records(*part_sources(spark, folder), TEXTS, 0.7, elements=elements))
+
+    return build
+
+
+QUERIES["match_full_ngram2_jaccard"] = _full_ngram_jaccard("bigrams")
+QUERIES["match_full_ngram3_jaccard"] = _full_ngram_jaccard("trigrams")
+
+
+@query("match_two_level_similar")
+def match_two_level_similar(spark, folder):
+    """Equal outer key (year and publisher), similar inner value (bigrams of the initials)."""
+    left, right = (
+        blocking.nested(
+            blocking.year_and_publisher(df, publishers=BRANDS), blocking.initials_hash, TEXTS
+        ).select("outer_key", "index", F.col("blocking_key").alias("initials"))
+        for df in part_sources(spark, folder)
+    )
+    return _rounded(
+        matching.similar_records(left, right, ["initials"], 0.7, elements="bigrams", block=["outer_key"])
+    )
 
 
 @query("class_members")

@@ -481,11 +481,13 @@ def title_pairs(name: str, threshold: float, score=jaccard, view=tokens, source=
       {name} AS MATERIALIZED (SELECT * FROM scored WHERE sim >= {threshold})"""
 
 
-def baseline(name: str, threshold: float) -> str:
+def baseline(name: str, threshold: float, score=jaccard) -> str:
+    def one(c: str) -> str:
+        both = f"len(x.s_{c}) + len(y.s_{c})"
+        return f"2 * {c}.o / ({both})" if score is dice else f"{c}.o / ({both} - {c}.o)"
+
     score = " + ".join(
-        [
-            f"coalesce({c}.o / (len(x.s_{c}) + len(y.s_{c}) - {c}.o), 0.0)" for c in TEXTS
-        ]
+        [f"coalesce({one(c)}, 0.0)" for c in TEXTS]
         + [f"(x.{c} = y.{c})::int" for c in ("year", "publication_venue")]
     )
     joins = " ".join(f"LEFT JOIN ov_{c} {c} ON {c}.i = x.id AND {c}.j = y.id" for c in TEXTS)
@@ -530,6 +532,36 @@ for _percent, _t in ((70, 0.7), (85, 0.85)):
       d AS (SELECT {_digests}, side, "index" FROM docs), k AS ({_keys})
       {matched('k', 'agreeing', '"group"')}"""
 
+for _percent, _t in ((70, 0.7), (85, 0.85)):
+    ORACLE[f"baseline_dice_all_{_percent}"] = (
+        f"WITH {_SETS}, {baseline('p', _t, dice)} SELECT {_PAIR_COLUMNS} FROM p"
+    )
+
+
+def _part_pairs(score: str, threshold: float, key: tuple[str, ...], views: dict[str, str], source: str, table: str) -> str:
+    """Every pair of classes of parts, scored."""
+    return f"""WITH {source}, {numbered(table, key, views)}
+      SELECT * REPLACE (round(sim, 6) AS sim) FROM (
+        SELECT {"x.outer_key, " if "outer_key" in key else ""}x.rep1, y.rep2, x.n1, y.n2, {score} AS sim
+        FROM sets x JOIN sets y ON x.n1 > 0 AND y.n2 > 0 {"AND x.outer_key = y.outer_key" if "outer_key" in key else ""})
+      WHERE sim >= {threshold}"""
+
+
+_both = lambda measure: " + ".join(measure(f"x.s_{c}", f"y.s_{c}") for c in TEXTS)
+_same = " + ".join(f"(CASE WHEN x.{c} = y.{c} THEN 1 ELSE 0.5 END)" for c in ("year", "publication_venue"))
+ORACLE["baseline_edit_all_85"] = _part_pairs(
+    f"({_both(edit)} + {_same}) / 4", 0.85, ORDER, {f"s_{c}": tokens(c) for c in TEXTS}, PARTS, "parts"
+)
+for _n in (2, 3):
+    ORACLE[f"match_full_ngram{_n}_jaccard"] = _part_pairs(
+        f"({_both(jaccard)}) / 2", 0.7, TEXTS,
+        {f"s_{c}": f"list_distinct({grams(c, _n)})" for c in TEXTS}, PARTS, "parts"
+    )
+_NESTED = f"""{PARTS}, {_PUBLISHED}, nested AS (SELECT year_label || '-' || publisher AS outer_key,
+    {initials_key(TEXTS)} AS initials, side, "index" FROM published)"""
+ORACLE["match_two_level_similar"] = _part_pairs(
+    jaccard("x.s", "y.s"), 0.7, ("outer_key", "initials"), {"s": f"list_distinct({grams('initials', 2)})"}, _NESTED, "nested"
+)
 ORACLE["class_members"] = f"""WITH {TITLES}
   SELECT side, min("index") OVER (PARTITION BY side, paper_title) AS rep, "index" FROM titles"""
 
@@ -789,3 +821,11 @@ ORACLE["replication_sweep"] = f"""WITH {TITLES}, i AS (SELECT side, {initials('p
     FROM copies, range(1, 11) AS f(factor) WHERE r < factor GROUP BY ALL)
   SELECT factor::int AS factor, sum(n1 + n2)::bigint AS records, sum(n1 * n2)::bigint AS matches
   FROM sizes GROUP BY factor"""
+
+# ------------------------------------------------------------------------------ round trips
+
+ORACLE["roundtrip_citations"] = ORACLE["parse_citations"]
+ORACLE["roundtrip_records"] = ORACLE["prepare_records"]
+ORACLE["roundtrip_pairs"] = f"WITH {title_pairs('p', 0.7)} SELECT rep1 AS id1, rep2 AS id2 FROM p"
+ORACLE["roundtrip_scores"] = ORACLE["baseline_jac_title_70"]
+ORACLE["roundtrip_clusters"] = ORACLE["clusters_components"]

@@ -45,15 +45,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, which ``release`` deletes with whatever is written there."""
+    path = os.path.join(shared_folder(spark), f"pairloom-{uuid.uuid4().hex}")
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def write_through(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result has no lineage, is computed once and survives the loss of any executor. Call
     ``release`` once the results that build on it have been consumed.
     """
-    path = os.path.join(shared_folder(df.sparkSession), f"pairloom-{uuid.uuid4().hex}")
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
