@@ -13,12 +13,14 @@ number of documents, so that one token brings no more pairs than there are docum
   at most one, so among the first floor(2 (1 - t) |x|) - 2 a + 2 frequent tokens at least one neighbourhood is whole in
   both. Their number grows with the set, not with its square, and a passage or phrase that many documents share
   brings no candidates unless it makes up nearly all of both.
-* Candidates are verified on their sets.
+* Sets that meet are compared by a bitmap of 64 x ``WORDS`` bits, each the parity of the tokens hashed to it: as many bits
+  differ as tokens differ, or fewer, so too many differing bits rule a pair out. What is left is verified on the sets.
 
 Sets that hold too few shared tokens for any partner are dropped before that, so what follows is the size of the near
-duplicates. The links between copies and in large groups are not listed: equal sets are one class; members of a class
-of equal min-hash are first verified against one of them, and the index then joins only sets of different components
-found so far. Every link between different sets is either verified or inside one component, so components are exact.
+duplicates. The links between copies and in large groups are not listed: equal sets are one class; sets of equal
+min-hash are first compared with the one among them that has the fewest unshared tokens. The index then joins
+components found so far, not sets, and only sets of two different components that meet are compared. Every link between
+different sets is either verified or inside one component, so components are exact.
 
 Scale: texts are dealt to chunks by a hash and read twice. A chunk sends each of its distinct tokens once, as a
 short fingerprint with a count, sorted and delta coded (about two bytes a token), to be counted in slices of the
@@ -40,18 +42,21 @@ from math import isqrt, log2
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.llm.common import steps
 from pairloom.llm.spans import hashes, words
 from pairloom.operators.clusters import connected_components
 from pairloom.session import write_through
 
 #: Words of a window, and the similarity in percent.
 SHINGLE, PERCENT = 4, 85
-#: Characters of a chunk, and tokens of a slice.
-CHUNK_CHARS, SLICE_TOKENS = 4_000_000, 1_000_000
+#: Characters of a chunk and of a step inside it, and tokens of a slice.
+CHUNK_CHARS, STEP_CHARS, SLICE_TOKENS = 4_000_000, 500_000, 1_000_000
 #: Min-hashes by which large groups are found first.
 MIN_HASHES = 3
+#: 64-bit words of a set's bitmap.
+WORDS = 8
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -64,6 +69,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str], n: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct token hashes of each text."""
+    return [s for low, high in steps(texts, STEP_CHARS) for s in _sets_of(texts[low:high], n)]
+
+
+def _sets_of(texts: list[str], n: int) -> list[np.ndarray]:
     raw, first, last, counts = words(texts)
     if not len(first):
         return [np.zeros(0, np.uint64)] * len(texts)
@@ -147,13 +156,21 @@ def signatures(size: int, tokens: np.ndarray, classes: np.ndarray, rare: int, pe
     return np.concatenate(found)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The parities of the tokens at each of 64 x WORDS places."""
+    places = _mix(tokens ^ _ODD[3]) % np.uint64(64 * WORDS)
+    odd = np.bincount(places.astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def least_size(percent: int = PERCENT) -> int:
     """The fewest tokens with which a set can link to a different one."""
     return -(-percent // (100 - percent))
 
 
 def _describe(sets: list[np.ndarray], answers: list[tuple[int, bytes]], bits: int, rare: int, percent: int) -> list[tuple]:
-    """(n, digest, tokens, signatures, min-hashes) of each set of a chunk; the last three only where a partner is possible."""
+    """(n, digest, tokens, signatures, min-hashes, bitmap) of each set of a chunk; from the tokens on only where a
+    partner is possible."""
     prints, _ = _fingerprints(sets, bits)
     unpack = zstandard.ZstdDecompressor().decompress
     classes = np.frombuffer(b"".join(unpack(raw) for _, raw in sorted(answers)), np.uint8)
@@ -163,7 +180,7 @@ def _describe(sets: list[np.ndarray], answers: list[tuple[int, bytes]], bits: in
     for tokens in sets:
         n = len(tokens)
         digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest() if n else None
-        row = (n, digest, None, None, None)
+        row = (n, digest, None, None, None, None)
         if n >= least_size(percent):
             own = classes[np.searchsorted(prints, tokens >> np.uint64(64 - bits))]
             shared = own > 0
@@ -172,13 +189,14 @@ def _describe(sets: list[np.ndarray], answers: list[tuple[int, bytes]], bits: in
                 order = np.lexsort((held, own))
                 keys = signatures(n, held[order], own[order], rare, percent).astype(np.int64)
                 mins = [int(_mix(held * _ODD[k % 4] + np.uint64(k)).min().astype(np.int64)) for k in range(MIN_HASHES)]
-                row = (n, digest, held.tobytes(), keys.tolist(), mins)
+                row = (n, digest, held.tobytes(), keys.tolist(), mins, bitmap(tokens).tolist())
         rows.append(row)
     return rows
 
 
-_SETS = "doc_id long, n int, digest string, tokens binary, keys array<long>, mins array<long>"
-_SET_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_SETS = "doc_id long, n int, digest string, tokens binary, keys array<long>, mins array<long>, bits array<long>"
+_LONGS = pa.list_(pa.int64())
+_SET_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.binary(), _LONGS, _LONGS, _LONGS]
 
 
 def described(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -246,32 +264,76 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.mapInArrow(similar, "u string, v string")
 
 
+def _side(sets: DataFrame, name: str) -> DataFrame:
+    """What two sets are compared by before their tokens are, with ``name`` on every column."""
+    words_ = [F.col("bits")[k].alias(f"{name}{k}") for k in range(WORDS)]
+    return sets.select(F.col("digest").alias(name), F.col("n").alias(f"n_{name}"), F.col("label").alias(f"l_{name}"), *words_)
+
+
+def _possible(percent: int) -> Column:
+    """Whether sizes and bitmaps of u and v allow a link: |x - y| + |y - x| is at most (1 - t) / (1 + t) of |x| + |y|."""
+    n_u, n_v = F.col("n_u"), F.col("n_v")
+    differing = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("u0").bitwiseXOR(F.col("v0"))))
+    close = (100 + percent) * differing <= (100 - percent) * (n_u + n_v)
+    return (100 * n_u >= percent * n_v) & (100 * n_v >= percent * n_u) & close
+
+
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Edges (u, v) of digests with the components of all links. ``sets`` has one row per distinct set."""
-    grouped = sets.select("digest", F.posexplode("mins").alias("which", "mark"))
-    leaders = grouped.groupBy("which", "mark").agg(F.min("digest").alias("v"), F.max("digest").alias("last"))
-    leaders = leaders.filter("v <> last").select("which", "mark", "v")
+    held = (F.octet_length("tokens") / 8).cast("int").alias("held")
+    sets = sets.select("digest", "n", held, "keys", "mins", "bits", "tokens")
+    grouped = sets.select("digest", (F.col("n") - F.col("held")).alias("unshared"), F.posexplode("mins").alias("which", "mark"))
+    leaders = grouped.groupBy("which", "mark").agg(
+        F.min(F.struct("unshared", "digest")).alias("leader"), F.count(F.lit(1)).alias("members")
+    )
+    leaders = leaders.filter("members > 1").select("which", "mark", F.col("leader.digest").alias("v"))
     first = grouped.join(leaders, ["which", "mark"]).filter("digest <> v").select(F.col("digest").alias("u"), "v").distinct()
+    alone = sets.withColumn("label", F.col("digest"))
+    first = first.join(_side(alone, "u"), "u").join(_side(alone, "v"), "v").filter(_possible(percent)).select("u", "v")
     edges = write_through(verified(first, sets, percent))
+
     found = connected_components(edges).select(F.col("id").alias("digest"), F.col("cluster_id").alias("label"))
-    labelled = sets.join(found, "digest", "left").select(
-        "digest", "n", F.coalesce("label", "digest").alias("label"), F.explode("keys").alias("key")
+    labelled = write_through(
+        sets.drop("tokens", "mins").join(found, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    )
+    # Components meet on a key; only keys with two or more of them can bring new links.
+    meeting = labelled.select("label", "n", "held", F.explode("keys").alias("key")).groupBy("key", "label").agg(
+        F.max("held").alias("held"), F.min("n").alias("low"), F.max("n").alias("high")
+    )
+    meeting = write_through(meeting)
+    mixed = meeting.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("key")
+    meeting = meeting.join(mixed, "key", "left_semi")
+    one = meeting.select("key", *[F.col(c).alias(f"{c}_a") for c in ("label", "held", "low", "high")])
+    two = meeting.select("key", *[F.col(c).alias(f"{c}_b") for c in ("label", "held", "low", "high")])
+    # What two sets share is at most what the one with fewer shared tokens holds, and at least t / (1 + t) of both.
+    enough = (100 + percent) * F.least("held_a", "held_b") >= percent * (F.col("low_a") + F.col("low_b"))
+    fits = (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
+    pairs = one.join(two, "key").filter((F.col("label_a") < F.col("label_b")) & enough & fits).select("label_a", "label_b").distinct()
+    # Only sets that hold a mixed key themselves can be the ones that link.
+    open_ = labelled.select("digest", F.explode("keys").alias("key")).join(mixed, "key", "left_semi").select("digest").distinct()
+    members = write_through(labelled.join(open_, "digest", "left_semi"))
+    # Of two components the smaller one is listed, and each of its sets meets the other one in one join.
+    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("members"))
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.toDF(f"label_{side}", f"members_{side}"), f"label_{side}")
+    swap = F.col("members_a") > F.col("members_b")
+    pairs = pairs.select(
+        F.when(swap, F.col("label_b")).otherwise(F.col("label_a")).alias("small"),
+        F.when(swap, F.col("label_a")).otherwise(F.col("label_b")).alias("large"),
+    )
+    second = (
+        pairs.join(_side(members, "u"), F.col("small") == F.col("l_u"))
+        .join(_side(members, "v"), F.col("large") == F.col("l_v"))
+        .filter(_possible(percent))
+        .select("u", "v")
     )
-    labelled = write_through(labelled)
-    # Only keys on which different components meet can bring new links.
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    open_ = labelled.join(mixed, "key", "left_semi")
-    one = open_.select("key", F.col("digest").alias("u"), F.col("n").alias("n1"), F.col("label").alias("l1"))
-    two = open_.select("key", F.col("digest").alias("v"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-    fits = (100 * F.col("n1") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n1"))
-    second = one.join(two, "key").filter((F.col("l1") < F.col("l2")) & fits).select("u", "v").distinct()
     return edges.unionAll(verified(second, sets, percent))
 
 
 def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: the smallest doc_id that links reach."""
     rows = write_through(described(docs, n, percent))
-    sets = write_through(rows.filter("tokens IS NOT NULL").select("digest", "n", "tokens", "keys", "mins").dropDuplicates(["digest"]))
+    sets = write_through(rows.filter("tokens IS NOT NULL").select("digest", "n", "tokens", "keys", "mins", "bits").dropDuplicates(["digest"]))
     named = connected_components(links(sets, percent)).select(F.col("id").alias("digest"), "cluster_id")
     least = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     least = least.join(named, "digest", "left").withColumn("cluster", F.coalesce("cluster_id", "digest"))
