@@ -27,7 +27,7 @@ class _Hashes:
 
     def of(self, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         if len(self.up) < len(raw) + 1:
-            n = 2 * len(raw) + 1
+            n = len(raw) + 1
             self.up, self.down = _powers(self.base, n), _powers(pow(self.base, -1, 1 << 64), n)
         sums = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self.byte[raw] * self.up[: len(raw)], out=sums[1:])
