@@ -7,12 +7,10 @@ so a lost executor costs only its tasks and no stage is computed twice.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import language_id, ngram_join, packing, quality
-from pairloom.llm.common import read
+from pairloom.llm.common import importable, read
 from pairloom.llm.queries import BYTE_BPE, language_model
 from pairloom.session import write_through
 
@@ -24,16 +22,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those below the calibrated least probability."""
+    importable(spark)
     return language_id.keep_identified(docs, language_model(docs))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least doc_id of every group of near duplicates."""
+    importable(spark)
     return ngram_join.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place all tokens in sequences of 2048."""
+    importable(spark)
     return packing.pack_documents(docs, BYTE_BPE, end_id=0)
 
 
@@ -50,7 +51,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole documents table."""
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet"))
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = write_through(stage(spark, docs, sf_dir))
     return docs

@@ -9,10 +9,20 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of text that a Python step works on at a time; one longer text is a step of its own.
-STEP_CHARS = 2_000_000
+STEP_CHARS = 1_000_000
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package when they are started elsewhere and see its folder."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(os.path.join(folder, f"{table}.parquet"))
 
 
@@ -44,7 +54,7 @@ class Recent:
     It only saves work. Whatever it has forgotten is made again by ``make(keys) -> values``.
     """
 
-    def __init__(self, make: Callable[[list], list], limit: int = 300_000):
+    def __init__(self, make: Callable[[list], list], limit: int = 450_000):
         self.make, self.limit = make, limit
         self.new: dict = {}
         self.old: dict = {}

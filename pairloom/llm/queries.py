@@ -21,7 +21,7 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's URL judged by the rules its tokens fetch."""
-    return url_rules.judge(read(spark, folder, "pages"))
+    return url_rules.judge(read(spark, folder, "pages")).drop("pattern")
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,4 +87,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE: dict[str, str] = {}
+_PART = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BAD_HOST = "|".join(url_rules.BAD_HOST_WORDS)
+_NO_CONTENT = "|".join(url_rules.NO_CONTENT)
+
+#: SQL of the operators that it can express; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op2_url_rules": rf"""WITH rules(host_, path_, verdict_) AS (VALUES ('com', '/', 'allow'),
+        ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'),
+        ('net', '/fr/', 'block')),
+      urls AS (SELECT row_number() OVER () AS id, page_id,
+        translate(coalesce(regexp_extract(url, '{_PART}', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+        coalesce(regexp_extract(url, '{_PART}', 2), '') AS path FROM pages),
+      fitting AS (SELECT id, arg_max(host_ || path_, length(host_ || path_)) AS rule,
+          arg_max(verdict_, length(host_ || path_)) AS verdict
+        FROM urls JOIN rules ON (host = host_ OR ends_with(host, '.' || host_)) AND starts_with(path, path_)
+        GROUP BY id)
+      SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN
+          regexp_matches(host || path, '^([^/]*[.-])?({_BAD_HOST})[.-]') OR
+          regexp_matches(host || path, '/({_NO_CONTENT})([/.]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+      FROM urls LEFT JOIN fitting USING (id)""",
+}
