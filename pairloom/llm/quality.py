@@ -37,7 +37,8 @@ STRATA = (0, 100, 200, 400, 1000)
 FALSE_REJECTION = 0.02
 #: Probability with which that holds for all strata at once.
 CONFIDENCE = 0.95
-GRID = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.02)
+#: Cutoffs end where a document that is not like the labelled ones could still be sound.
+GRID = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15)
 
 
 @dataclass(frozen=True)
@@ -55,11 +56,11 @@ def _ratio(over: str, under: str) -> Column:
 
 def rules() -> list[Rule]:
     return [
-        Rule("symbols", _ratio("n_symbols", "n_words"), (4.0, 3.0, 2.0, 1.5, 1.0, *GRID)),
+        Rule("symbols", _ratio("n_symbols", "n_words"), (4.0, 3.0, 2.0, 1.5, 1.0, *GRID, 0.1)),
         Rule("shouting", _ratio("n_upper", "word_chars")),
         Rule("repeated_words", _ratio("n_repeat_words", "n_words")),
-        Rule("repeated_lines", _ratio("n_dup_lines", "n_words"), (0.2, 0.1, 0.05, 0.02, 0.01, 0.005)),
-        Rule("word_length", _ratio("word_chars", "n_words"), (100.0, 50.0, 30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0)),
+        Rule("repeated_lines", _ratio("n_dup_lines", "n_words"), (0.2, 0.1, 0.05, 0.02, 0.01)),
+        Rule("word_length", _ratio("word_chars", "n_words"), (100.0, 50.0, 30.0, 20.0, 15.0, 12.0, 10.0)),
     ]
 
 
