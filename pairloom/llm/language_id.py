@@ -33,7 +33,7 @@ SAMPLE = 1500
 #: Languages that are learnt at most, the most frequent ones.
 LANGUAGES = 500
 #: Rows and numbers of the embedding.
-ROWS, SIZE = 1 << 16, 12
+ROWS, SIZE = 1 << 16, 12  # a row number fits two bytes
 #: Longest snippet in words, training passes and examples of a step.
 SNIPPET, EPOCHS, BATCH, RATE = 30, 3, 32, 0.5
 #: Share of documents like the calibrated ones that may be rejected.
@@ -136,9 +136,13 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
 def _descend(model: Model, snippets: list[str], targets: np.ndarray, rng) -> None:
     if not snippets:
         return
-    rows, owners, _ = subwords(snippets)
-    order = np.argsort(owners, kind="stable")
-    rows, sizes = rows[order], np.bincount(owners, minlength=len(snippets))
+    parts, counts = [], []
+    for low in range(0, len(snippets), 2000):  # only rows and counts of all snippets are held at once
+        some = snippets[low : low + 2000]
+        found, owners, _ = subwords(some)
+        parts.append(found[np.argsort(owners, kind="stable")].astype(np.uint16))
+        counts.append(np.bincount(owners, minlength=len(some)))
+    rows, sizes = np.concatenate(parts), np.concatenate(counts)
     starts = np.cumsum(sizes) - sizes
     # Every language weighs the same, however many snippets it has.
     per_language = np.bincount(targets, minlength=len(model.languages))
