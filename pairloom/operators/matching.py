@@ -67,7 +67,7 @@ def match_equal(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
     """
     tagged = write_through(both_sides(left, right, [*on, "index"]))
     keys = side_counts(tagged, on).filter("n1 > 0 AND n2 > 0").select(*on)
-    return tagged.join(keys, on, "left_semi").distinct()
+    return tagged.join(keys, list(on), "left_semi").distinct()
 
 
 def expand_groups(groups: DataFrame, on: Sequence[str]) -> DataFrame:
