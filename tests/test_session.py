@@ -7,7 +7,7 @@ from pairloom import session
 
 
 def test_tables_go_to_the_shared_folder(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(session, "_written", [])
+    monkeypatch.setattr(session, "_written", {})
     monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
     df = session.write_through(spark.range(10).repartition(3))
     assert df.count() == 10 and len(os.listdir(tmp_path)) == 1
