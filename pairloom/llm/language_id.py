@@ -39,6 +39,9 @@ SNIPPET, EPOCHS, BATCH, RATE = 30, 3, 32, 0.5
 #: Share of documents like the calibrated ones that may be rejected.
 REJECTED = 0.005
 
+#: Characters looked at together, which bounds a task's memory.
+STEP_CHARS = 300_000
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _letters: dict[int, bool] = {}
 
@@ -195,7 +198,7 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
     if model is None or not texts:
         return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
     names, scores = [], []
-    for low, high in steps([t or "" for t in texts]):
+    for low, high in steps([t or "" for t in texts], STEP_CHARS):
         hidden, letters = averages(model, [t or "" for t in texts[low:high]])
         p = model.probabilities(hidden)
         best = p.argmax(axis=1)
