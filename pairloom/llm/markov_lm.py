@@ -24,12 +24,15 @@ uniform and train_tokens is 0; an empty table gives no rows; other columns are n
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.common import crc32_bucket
@@ -45,7 +48,7 @@ _LN10 = np.log(10.0)
 
 _BLOCK = (
     "doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, classes binary, "
-    "words array<string>, counts array<long>, block string"
+    "words array<string>, counts array<long>, block long"
 )
 
 
@@ -72,10 +75,13 @@ def _number(block_texts: list[str], trains: list[bool]) -> tuple:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    pack, first = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+    numbers = itertools.count(first)
+
     def block(ids: list, texts: list[str], held: list) -> pa.RecordBatch:
         lengths, tokens, classes, names, count = _number(texts, [h is False for h in held])
-        name = xxhash.xxh3_128_hexdigest(repr((ids, lengths.tolist())).encode() + tokens.tobytes())
-        rows = [[ids], [held], [lengths.tolist()], [tokens.tobytes()], [classes.tobytes()], [names], [count.tolist()], [name]]
+        packed = pack(tokens.tobytes())
+        rows = [[ids], [held], [lengths.tolist()], [packed], [classes.tobytes()], [names], [count.tolist()], [next(numbers)]]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
     ids, texts, held, size = [], [], [], 0
@@ -96,13 +102,16 @@ _ARROW = pa.schema(
     [
         ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
         ("tokens", pa.binary()), ("classes", pa.binary()), ("words", pa.list_(pa.string())),
-        ("counts", pa.list_(pa.int64())), ("block", pa.string()),
+        ("counts", pa.list_(pa.int64())), ("block", pa.int64()),
     ]
 )
 
 
 def blocks(docs: DataFrame, modulus: int = 5, out: int = 1) -> DataFrame:
-    """The texts as blocks of numbers; documents whose crc32 leaves ``out`` are held out of training."""
+    """The texts as blocks of numbers; documents whose crc32 leaves ``out`` are held out of training.
+
+    Block numbers are those of the tasks that make them, so blocks have to be written before they are used.
+    """
     held = crc32_bucket(F.col("doc_id"), modulus) == out
     tagged = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held"))
     return tagged.mapInArrow(lambda batches: _blocks(batches, _ARROW), _BLOCK)
@@ -146,8 +155,12 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), side="right")
 
 
-def expected(model: Model, lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Expected counts of some texts, laid out as ``Model.of`` takes them."""
+def _tokens(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i4")
+
+
+def expected(model: Model, lengths: np.ndarray, classes: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Expected counts of some texts, laid out as ``Model.of`` takes them; recursions are of the given ``kind``."""
     counts = np.zeros((CLASSES + 1 + STATES + 1, STATES))
     if not len(classes):
         return counts
@@ -159,21 +172,21 @@ def expected(model: Model, lengths: np.ndarray, classes: np.ndarray) -> np.ndarr
     starts = (np.cumsum(lengths) - lengths)[run_of] + place * RUN
     order, active = _by_length(size)
     starts, begins = starts[order], place[order] == 0
-    emit, chain = model.emit, model.chain
+    emit, chain = model.emit.astype(kind), model.chain.astype(kind)
     alpha, scales = [], []
-    now = np.where(begins[:, None], model.first, model.share)
+    now = np.where(begins[:, None], model.first, model.share).astype(kind)
     for t, n in enumerate(active.tolist()):
         now = (now if t == 0 else now[:n] @ chain) * emit[classes[starts[:n] + t]]
         scale = now.sum(axis=1, keepdims=True)
         now = now / scale
         alpha.append(now)
         scales.append(scale)
-    moved = np.zeros_like(chain)
-    behind = np.zeros((0, STATES))
+    moved = np.zeros((STATES, STATES))
+    behind = np.zeros((0, STATES), kind)
     gammas, at = [], []
     for t in range(len(active) - 1, -1, -1):
         n = int(active[t])
-        beta = np.ones((n, STATES))
+        beta = np.ones((n, STATES), kind)
         if len(behind):
             moved += alpha[t][: len(behind)].T @ behind
             beta[: len(behind)] = behind @ chain.T
@@ -227,8 +240,8 @@ def _round(written: DataFrame, model: Model) -> np.ndarray:
             for held, lengths, tokens, classes in zip(*(c.to_pylist() for c in batch.columns)):
                 lengths = np.array(lengths, np.int64)
                 learnt = np.array([h is False for h in held], bool)
-                classes = np.frombuffer(classes, "<u2")[np.frombuffer(tokens, "<i4")[np.repeat(learnt, lengths)]]
-                total += expected(shared.value, lengths[learnt], classes)
+                classes = np.frombuffer(classes, "<u2")[_tokens(tokens)[np.repeat(learnt, lengths)]]
+                total += expected(shared.value, lengths[learnt], classes, np.float32)
         rows = np.flatnonzero(total.any(axis=1))
         fixed = np.rint(total[rows] * _UNIT).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(c) for c in fixed.T)], schema=schema)
@@ -291,17 +304,14 @@ def score(written: DataFrame, words_: DataFrame, trained: Trained) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("place", "c"))).alias("known"))
         .select("block", F.col("known.c").alias("known"))
     )
-    # Equal blocks of repeated rows have one list, so it is joined to each of them.
-    rows = written.select("block", "doc_ids", "held", "lengths", "tokens", "classes").join(
-        known.groupBy("block").agg(F.any_value("known").alias("known")), "block"
-    )
+    rows = written.select("block", "doc_ids", "held", "lengths", "tokens", "classes").join(known, "block")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Trained = shared.value
         for batch in batches:
             for ids, held, lengths, tokens, classes, known in zip(*(c.to_pylist() for c in batch.columns)):
                 c, lengths = np.array(known, float), np.array(lengths, np.int64)
-                classes, tokens = np.frombuffer(classes, "<u2"), np.frombuffer(tokens, "<i4")
+                classes, tokens = np.frombuffer(classes, "<u2"), _tokens(tokens)
                 base = np.log10((c + 0.5) / (t.total + 0.5 * (t.distinct + 1)))
                 inside = np.log10((c + 0.5) / (t.tokens[classes] + 0.5 * (t.types[classes] + 1)))
                 starts = np.cumsum(lengths) - lengths
