@@ -27,9 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least doc_id of every group of near duplicates."""
+    """Keep the document of least doc_id of every group of near duplicates: 5-word windows, 80 %."""
     importable(spark)
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, n=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
