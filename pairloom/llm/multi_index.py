@@ -2,12 +2,12 @@
 
 Vectors are cut in two halves and each half is quantised by a codebook of its own, so a pair of centroids names one of
 ``CENTROIDS``^2 cells. A query sorts both codebooks by inner product with its halves and visits pairs in falling order
-of the sum, with a heap, until the cells visited hold the wanted share of all entries. Entries of visited cells are
+of the sum, with a heap, until the cells visited hold the wanted share of all distinct vectors. Entries of visited cells are
 reranked by their exact inner product in double precision.
 
-The codebooks are fitted by k-means on a sample of ``SAMPLE`` vectors (least hash of the id). The same sample measures
-how deep queries must go: ``depth`` is the share of entries within which ``RECALL`` of true neighbours inside the
-sample are met. Nearer neighbours of a larger table are met earlier, so the share is on the safe side. Vectors
+The codebooks are fitted by k-means on a sample of ``SAMPLE`` distinct vectors (least hash of the id). The same sample
+measures how deep queries must go: ``depth`` is the share of distinct vectors within which ``RECALL`` of true
+neighbours inside the sample are met; copies count neither there nor in a search. Nearer neighbours of a larger table are met earlier, so the share is on the safe side. Vectors
 without structure need a large share (about 0.4 for random directions in 64 dimensions), clustered ones a small one.
 
 Scale: every vector is indexed. Entries are dealt to blocks of about ``BLOCK`` of neighbouring cells, larger cells to
@@ -128,28 +128,31 @@ def nearest(
         return spark.createDataFrame([], result)
     dimensions = usual["n"]
     rows = rows.filter(_valid(rows, dimensions))
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").limit(sample).toArrow()["vector"].combine_chunks()
+    alike = Window.partitionBy("vector").orderBy("vec_id")
+    entries = rows.withColumn("copy", F.row_number().over(alike)).filter(F.col("copy") <= top + 1)
+    entries = write_through(entries.select("vec_id", "vector", (F.col("copy") == 1).alias("first")))
+    drawn = entries.filter("first").orderBy(F.xxhash64("vec_id"), "vec_id").select("vector").limit(sample)
+    drawn = drawn.toArrow()["vector"].combine_chunks()
     if not len(drawn):
         return spark.createDataFrame([], result)
     index = fit(_matrix(drawn, dimensions), top, centroids, recall)
-
-    alike = Window.partitionBy("vector").orderBy("vec_id")
-    entries = rows.withColumn("copy", F.row_number().over(alike)).filter(F.col("copy") <= top + 1)
     shared = spark.sparkContext.broadcast(index)
 
-    def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros((len(shared.value.books[0]) * len(shared.value.books[1]), 2), np.int64)
         for batch in batches:
             if batch.num_rows:
-                cells = shared.value.cells(_matrix(batch.column(1), dimensions))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], ["vec_id", "vector", "cell"])
+                cells = shared.value.cells(_matrix(batch.column(0), dimensions))
+                sizes[:, 0] += np.bincount(cells, minlength=len(sizes))
+                sizes[:, 1] += np.bincount(cells[batch.column(1).to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        held = np.flatnonzero(sizes[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(held), *(pa.array(c) for c in sizes[held].T)], ["cell", "n", "kinds"])
 
-    entries = write_through(
-        entries.select("vec_id", "vector").mapInArrow(assigned, "vec_id long, vector array<double>, cell long")
-    )
     cells = len(index.books[0]) * len(index.books[1])
-    sizes = np.zeros(cells, np.int64)
-    for cell, n in entries.groupBy("cell").count().collect():  # a row a cell at most
-        sizes[cell] = n
+    sizes, kinds_of = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    found = entries.select("vector", "first").mapInArrow(counted, "cell long, n long, kinds long")
+    for cell, n, distinct in found.groupBy("cell").agg(F.sum("n"), F.sum("kinds")).collect():  # a row a cell at most
+        sizes[cell], kinds_of[cell] = n, distinct
     # Blocks of neighbouring cells; a cell beyond the size of a block has blocks of its own.
     parts = np.maximum(1, -(-sizes // block))
     first, filled = np.zeros(cells, np.int64), 0
@@ -161,7 +164,7 @@ def nearest(
         filled += int(sizes[cell])
         if parts[cell] > 1:
             number, filled = number + int(parts[cell]), 0
-    layout = spark.sparkContext.broadcast((first, parts, sizes))
+    layout = spark.sparkContext.broadcast((first, parts, kinds_of))
     columns = "block long, asked boolean, id long, vector array<double>, cells array<int>, mark long, times long"
     names = [c.split()[0] for c in columns.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), _LIST, pa.list_(pa.int32()), pa.int64(), pa.int64()]
@@ -169,15 +172,17 @@ def nearest(
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, parts, _ = layout.value
         for batch in batches:
-            ids, cells = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            if not batch.num_rows:
+                continue
+            ids, cells = batch.column(0).to_numpy(), shared.value.cells(_matrix(batch.column(1), dimensions))
             at = first[cells] + (ids * 0x9E3779B1 >> 7) % parts[cells]
             own = pa.array([[c] for c in cells.tolist()], pa.list_(pa.int32()))
             asked, zero = pa.array(np.zeros(len(ids), bool)), pa.array(np.zeros(len(ids), np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(at), asked, batch.column(0), batch.column(1), own, zero, zero], names)
 
     def requested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, (first, parts, sizes) = shared.value, layout.value
-        wanted = index.depth * sizes.sum()
+        index, (first, parts, distinct) = shared.value, layout.value
+        wanted = index.depth * distinct.sum()
         for batch in batches:
             ids, marks, times = (batch.column(k).to_pylist() for k in (0, 2, 3))
             out: list[list] = [[], [], [], [], [], [], []]
@@ -185,10 +190,10 @@ def nearest(
                 by_block: dict[int, list[int]] = {}
                 met = 0
                 for cell in index.visit(vector):
-                    if sizes[cell]:
+                    if distinct[cell]:
                         for part in range(int(parts[cell])):
                             by_block.setdefault(int(first[cell]) + part, []).append(cell)
-                        met += int(sizes[cell])
+                        met += int(distinct[cell])
                         if met >= wanted and met > top:
                             break
                 for block_, cells in by_block.items():
@@ -199,7 +204,7 @@ def nearest(
 
     asked = rows.filter("asks").groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("times"))
     asked = asked.select("vec_id", "vector", F.xxhash64("vector").alias("mark"), "times").mapInArrow(requested, columns)
-    meetings = entries.mapInArrow(placed, columns).unionAll(asked)
+    meetings = entries.select("vec_id", "vector").mapInArrow(placed, columns).unionAll(asked)
     meetings = meetings.repartition("block").sortWithinPartitions("block", "asked")
     partial = "query_id long, mark long, times long, own double, ids array<long>, scores array<double>"
     partial_kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), _LIST]

@@ -221,6 +221,23 @@ def test_multi_index_recall(spark):
     assert np.mean([len(found[q] & truth[q]) / len(truth[q]) for q in truth]) >= 0.9
 
 
+def test_multi_index_recall_of_distinct_queries_beside_a_hot_vector(spark):
+    rng = np.random.default_rng(9)
+    points = rng.standard_normal((6000, 64)) + 0.5
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points = np.concatenate([points, np.full((3000, 64), -0.125)])  # a third of the rows, and far from all others
+    rows = [(i, v) for i, v in enumerate(points.astype(np.float32).tolist())]
+    found = defaultdict(set)
+    for r in multi_index.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    points, shares = np.array([v for _, v in rows]), []
+    for q in range(0, 6000, 20):
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        shares.append(len(found[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(shares) >= 0.94
+
+
 def test_cells_are_visited_by_falling_sum():
     rng = np.random.default_rng(1)
     index = multi_index.fit(rng.standard_normal((500, 8)), 5, centroids=7)
