@@ -3,8 +3,8 @@
 A text is represented by the average embedding of its subwords: all windows of two to four characters of every
 run of letters, with its two borders, in lower case, hashed to a fixed number of rows. A linear softmax on the average
 gives the languages. Embeddings and softmax are trained together by stochastic gradient descent in numpy, on the driver,
-with the labelled texts of a sample: at most ``SAMPLE`` of them, dealt evenly to the languages, each cut into
-snippets that together are the whole text. A fifth of the sampled documents is kept apart to calibrate: a
+with the labelled texts of a sample: at most ``SAMPLE`` of them, and no more than fit ``SAMPLE_CHARS`` characters, whole
+texts each, dealt evenly to the ``LANGUAGES`` most frequent languages, each cut into snippets that together are the whole text. A fifth of the sampled documents is kept apart to calibrate: a
 temperature that makes the probabilities honest, and a least probability that all but ``REJECTED`` of them reach
 (a conformal bound on the share of documents rejected). A prediction below that is marked as rejected.
 
@@ -12,7 +12,7 @@ Scale: prediction is one pass without a shuffle over whole texts; the model has
 looked up once. Choosing the sample reads ids and languages only, then the sampled texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; where no row may be learnt
-from, every text is; ties go to the first language in alphabetical order; repeated rows are predicted alike; a null
+from, every text is ``und`` with score 0, but only those without a letter are rejected; ties go to the first language in alphabetical order; repeated rows are predicted alike; a null
 doc_id is neither learnt from nor held out; other columns are not read.
 """
 
@@ -27,9 +27,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm.common import steps
 from pairloom.llm.spans import distinct, words
+from pairloom.session import write_through
 
 #: Documents that are learnt from at most.
 SAMPLE = 1500
+#: Characters of the sample, which the driver holds: it ends before the first document beyond them, but has one at least.
+SAMPLE_CHARS = 100_000_000
 #: Languages that are learnt at most, the most frequent ones.
 LANGUAGES = 500
 #: Rows and numbers of the embedding.
@@ -196,7 +199,8 @@ def _calibrate(model: Model, texts: list[str], targets: np.ndarray) -> None:
 def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of each text."""
     if model is None or not texts:
-        return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        no_letter = [not any(map(str.isalpha, t or "")) for t in texts]
+        return ["und"] * len(texts), np.zeros(len(texts)), np.array(no_letter, bool)
     names, scores = [], []
     for low, high in steps([t or "" for t in texts], STEP_CHARS):
         hidden, letters = averages(model, [t or "" for t in texts[low:high]])
@@ -208,6 +212,14 @@ def predict(model: Model | None, texts: list[str | None]) -> tuple[list[str], np
     return names, score, (score < model.least) | np.array([n == "und" for n in names])
 
 
+def _within(drawn: DataFrame, most: int) -> list:
+    """The rows of least mark whose texts together have at most ``most`` characters, but one at least."""
+    sizes = drawn.select("mark", F.xxhash64("text").alias("hash"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    sizes = sorted(tuple(r) for r in sizes.collect())
+    fit = max(1, int(np.searchsorted(np.cumsum([n for *_, n in sizes]), most, side="right")))
+    return drawn.orderBy("mark", F.xxhash64("text")).limit(fit).collect()
+
+
 def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
     """Train on a sample of the rows for which ``learn`` holds and lang is not null.
 
@@ -222,7 +234,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
     mark = (F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5) * size
     marked = labelled.withColumn("mark", mark).filter("mark IS NOT NULL")
     least = [r["mark"] for r in marked.select("mark").orderBy("mark").limit(sample).collect()]
-    rows = marked.filter(F.col("mark") <= max(least)).limit(sample).collect() if least else []
+    rows = _within(write_through(marked.filter(F.col("mark") <= max(least)).limit(sample)), SAMPLE_CHARS) if least else []
     rows.sort(key=lambda r: (r["mark"], r["doc_id"], r["text"] or ""))
     return train([r["text"] or "" for r in rows], [r["lang"] for r in rows])
 

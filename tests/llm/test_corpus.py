@@ -154,6 +154,23 @@ def test_language_id_of_awkward_rows(spark):
     assert language_id.identify(tables.empty(spark), model).count() == 0
 
 
+def test_nothing_learnt_rejects_only_texts_without_letters(spark):
+    docs = tables.documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    model = language_id.fit(docs, F.lit(True))
+    kept = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, FOLDER)
+    assert model is None
+    expected = [(*r[:2], None, *r[3:]) for r in tables.awkward() if any(c.isalpha() for c in r[1] or "")]
+    assert tables.bag(kept.collect()) == tables.bag(expected)
+
+
+def test_sample_is_bounded_by_whole_documents(spark):
+    rows = [(0.4, 4, "x" * 10), (0.1, 1, "a" * 50), (0.2, 2, None), (0.3, 3, "b" * 40)]
+    drawn = spark.createDataFrame(rows, "mark double, doc_id long, text string")
+    for most, ids in ((100, [1, 2, 3, 4]), (99, [1, 2, 3]), (50, [1, 2]), (10, [1])):
+        found = language_id._within(drawn, most)
+        assert [r["doc_id"] for r in found] == ids and all((r["mark"], r["doc_id"], r["text"]) in rows for r in found)
+
+
 def test_calibration_bounds_rejection():
     rng = np.random.default_rng(0)
     letters = {"aa": "abcde", "bb": "vwxyz"}
