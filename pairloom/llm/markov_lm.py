@@ -8,9 +8,8 @@ the word and the tokens C and distinct words V of its class, where one more word
 
 Training: every partition runs scaled forward and backward recursions over its training texts and adds up
 expected counts; the sums over partitions make the next model (``ROUNDS`` times). Expected counts travel as integers,
-so their sums do not depend on the order of addition. For training only, texts are cut into runs of ``RUN`` words,
-which are recursed side by side; a run that continues a text begins with the states' overall shares. Scoring is exact:
-one scaled forward recursion from the first word to the end of every whole text.
+so their sums do not depend on the order of addition. The texts of a block are recursed side by side, each from its
+first word to its end, so every transition is counted. Scoring is exact too: one scaled forward recursion from the first word to the end of every whole text.
 
 Scale: texts are read once, into blocks of about ``BLOCK_CHARS`` characters held as numbers. The distinct words of a
 block meet the corpus counts in a join on the word, and come back as one list per block; so what is shuffled is the
@@ -40,8 +39,8 @@ from pairloom.llm.spans import distinct, words
 from pairloom.session import write_through
 
 STATES, CLASSES, ROUNDS = 8, 1 << 14, 4
-#: Characters of a block, and words of a run.
-BLOCK_CHARS, RUN = 6_000_000, 64
+#: Characters of a block.
+BLOCK_CHARS = 6_000_000
 #: Fixed point of expected counts.
 _UNIT = 1 << 20
 _LN10 = np.log(10.0)
@@ -164,17 +163,11 @@ def expected(model: Model, lengths: np.ndarray, classes: np.ndarray, kind: type
     counts = np.zeros((CLASSES + 1 + STATES + 1, STATES))
     if not len(classes):
         return counts
-    # Cut texts into runs; remember which runs begin a text.
-    runs = -(-lengths // RUN)
-    run_of = np.repeat(np.arange(len(lengths)), runs)
-    place = np.arange(len(run_of)) - np.repeat(np.cumsum(runs) - runs, runs)
-    size = np.minimum(RUN, lengths[run_of] - place * RUN)
-    starts = (np.cumsum(lengths) - lengths)[run_of] + place * RUN
-    order, active = _by_length(size)
-    starts, begins = starts[order], place[order] == 0
+    order, active = _by_length(lengths)
+    starts = (np.cumsum(lengths) - lengths)[order]
     emit, chain = model.emit.astype(kind), model.chain.astype(kind)
     alpha, scales = [], []
-    now = np.where(begins[:, None], model.first, model.share).astype(kind)
+    now = np.tile(model.first, (len(lengths), 1)).astype(kind)
     for t, n in enumerate(active.tolist()):
         now = (now if t == 0 else now[:n] @ chain) * emit[classes[starts[:n] + t]]
         scale = now.sum(axis=1, keepdims=True)
@@ -199,7 +192,7 @@ def expected(model: Model, lengths: np.ndarray, classes: np.ndarray, kind: type
     for k in range(STATES):
         counts[: CLASSES + 1, k] = np.bincount(at, gamma[:, k], minlength=CLASSES + 1)
     counts[CLASSES + 1 : -1] = moved * chain
-    counts[-1] = gammas[-1][begins].sum(axis=0)
+    counts[-1] = gammas[-1].sum(axis=0)
     return counts
 
 

@@ -314,6 +314,33 @@ def test_forward_and_expected_counts_by_enumeration():
     assert markov_lm.expected(model, lengths, seen) == pytest.approx(total)
 
 
+def test_expected_counts_of_long_texts():
+    rng = np.random.default_rng(16)
+    k, classes = markov_lm.STATES, markov_lm.CLASSES + 1
+    normal = lambda x: x / x.sum(axis=-1, keepdims=True)
+    model = markov_lm.Model(normal(rng.random(k)), normal(rng.random(k)), normal(rng.random((k, k))), rng.random((classes, k)) / classes)
+    lengths = np.array([65, 3, 300, 64])
+    seen = rng.integers(0, 5, lengths.sum())
+    total = np.zeros((classes + k + 1, k))
+    for start, n in zip(np.cumsum(lengths) - lengths, lengths):
+        e = model.emit[seen[start : start + n]]
+        alpha, beta = [normal(model.first * e[0])], [np.ones(k)]
+        for t in range(1, n):
+            alpha.append(normal((alpha[-1] @ model.chain) * e[t]))
+            beta.append(normal(model.chain @ (e[n - t] * beta[-1])))
+        beta.reverse()
+        gamma = normal(np.array(alpha) * np.array(beta))
+        np.add.at(total, seen[start : start + n], gamma)
+        total[-1] += gamma[0]
+        for t in range(n - 1):
+            pair = alpha[t][:, None] * model.chain * (e[t + 1] * beta[t + 1])
+            total[classes : classes + k] += pair / pair.sum()
+    found = markov_lm.expected(model, lengths, seen)
+    assert found == pytest.approx(total)
+    assert found[classes : classes + k].sum() == pytest.approx((lengths - 1).sum())
+    assert markov_lm.expected(model, lengths, seen, np.float32) == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
 def test_word_classes_make_a_distribution():
     tokens = np.zeros(markov_lm.CLASSES + 1)
     tokens[[1, 5, markov_lm.CLASSES]] = 7, 3, 4
