@@ -3,8 +3,9 @@
 The library's byte-level pattern always breaks a text between a non-space and a space, between an ASCII letter and
 punctuation, and after a lone line break. A text is therefore cut there; each distinct piece is encoded by the library
 once and remembered, and the ids of a text are those of its pieces in order. Equal pieces of a step are found by
-``spans.distinct``. Texts whose white space would be cut wrongly that way (a space between other white space) go
-through the library whole. Results are those of ``encode``.
+``spans.distinct``. Texts whose white space would be cut wrongly that way (a space between other white space), and texts
+that hold the content of one of the vocabulary's added tokens, go through the library whole. Results are those of
+``encode`` of the library as it is loaded, without special tokens added.
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ _PLAIN[0x21:0x7F] = True
 _encoders: dict[str, "Encoder"] = {}
 
 
-def encode_by_pieces(texts: list[str], whole: Callable[[list[str]], list[bytes]], pieces: Recent) -> list[bytes]:
+def encode_by_pieces(
+    texts: list[str], whole: Callable[[list[str]], list[bytes]], pieces: Recent, added: re.Pattern | None = None
+) -> list[bytes]:
     """Ids of texts that are cut into pieces: ``pieces`` knows the ids of a piece (as UTF-8), ``whole`` encodes
-    texts that must not be cut."""
-    odd = [k for k, t in enumerate(texts) if _ODD.search(t)]
+    texts that must not be cut, among them those that hold what ``added`` finds."""
+    odd = [k for k, t in enumerate(texts) if _ODD.search(t) or (added and added.search(t))]
     parts = [t.encode() for t in texts]
     for k in odd:
         parts[k] = b""
@@ -77,7 +80,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        contents = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
         # The same model behind a pattern that breaks at line ends alone, for pieces that are words already.
         self.of_words = Tokenizer.from_file(path)
         self.of_words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
@@ -108,7 +112,7 @@ class Encoder:
         return [made[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return encode_by_pieces(texts, self.whole, self.pieces)
+        return encode_by_pieces(texts, self.whole, self.pieces, self.added)
 
 
 def _byte_characters() -> dict[int, str]:

@@ -18,6 +18,8 @@ SCHEMA = T.StructType(
     ]
 )
 LONG = " ".join(f"w{i % 4999} v{i}" for i in range(12_000))
+#: Two words of 1,024 to 4,096 letters that polynomial hashes modulo a power of two cannot tell apart.
+TWINS = [tuple("".join(ab[bin(i).count("1") % 2] for i in range(n)) for ab in ("ab", "ba")) for n in (1024, 2048, 4096)]
 PROSE = " ".join(f"alpha{i % 37} beta{i % 11} gamma{i}" for i in range(40))
 
 
@@ -29,6 +31,8 @@ def awkward():
         "As As As " * 30, "all rights\nreserved " * 3, "Released under the MIT License. " + PROSE,
         "Licensed under the Apache License, Version 2.0. " * 2, "<|endoftext|> is text",
     ]
+    texts += [f"{head} {x} {head} {y}" for x, y in TWINS for head in ("z", "k")]
+    texts += [f"p q r {word}" for twins in TWINS for word in twins]
     rows = [(i, t, "en" if i % 3 else None, None if i % 5 == 0 else "s", "x", "y", "z", "0") for i, t in enumerate(texts)]
     # Repeated rows, a repeated id with another text, and no id at all.
     rows += [rows[5], rows[5], (5, "another text", "en", "s", "x", "y", "z", "0"), (None, PROSE, None, None, None, None, None, None)]

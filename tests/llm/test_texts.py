@@ -14,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import llm.tables as tables
-from pairloom.llm import byte_bpe, license_scan, packing, plane_store, quality, queries, url_rules
+from pairloom.llm import byte_bpe, license_scan, packing, plane_store, quality, queries, spans, url_rules
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -22,7 +22,6 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def library():
     found = Tokenizer.from_file(queries.BYTE_BPE)
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -205,6 +204,19 @@ def test_license_scan(spark):
 # ------------------------------------------------------------------------------------ op8
 
 
+def test_different_words_have_different_classes():
+    rng = np.random.default_rng(3)
+    parts = ["", "a", "ab", *(w for twins in tables.TWINS for w in twins)]
+    parts += ["".join(rng.choice(list("abé"), n)) for n in (7, 8, 9, 15, 16, 17, 511, 512, 513, 514, 3000)]
+    parts += [p[:-1] + "x" for p in parts if p] + parts[::-1]
+    stops = np.cumsum([len(p.encode()) for p in parts])
+    raw = np.frombuffer("".join(parts).encode(), np.uint8)
+    first = np.append(0, stops[:-1])
+    codes, sample = spans.distinct(raw, first, stops)
+    assert len(sample) == len(set(parts)) and [parts[sample[c]] for c in codes] == parts
+    assert len(set(spans.hashes(raw, first, stops).tolist())) == len(set(parts))
+
+
 def test_plane_store(spark, library):
     docs = tables.documents(spark)
     folder = plane_store.new_folder(spark)
