@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and their SQL."""
+"""The operators over their whole tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import byte_bpe, language_id, license_scan, markov_lm, multi_index, ngram_join, packing, plane_store, quality, url_rules
+from pairloom.llm import byte_bpe, conversation_repair, language_id, license_scan, markov_lm, multi_index, ngram_join, packing, plane_store, quality, url_rules
 from pairloom.llm.common import crc32_bucket, read
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +74,11 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), BYTE_BPE, end_id=0)
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations, damaged as the contract says, repaired by the cheapest edits of least audit."""
+    return conversation_repair.digest_repaired(conversation_repair.damage(read(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_url_rules": op2_url_rules,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_plane_store": op8_plane_store,
     "op9_markov_lm": op9_markov_lm,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 _PART = r"(?s)^.*?://([^/?#]*)([^?#]*)"
