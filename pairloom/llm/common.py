@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Characters of text that a Python step works on at a time; one longer text is a step of its own.
@@ -76,3 +77,18 @@ class Recent:
 
 def crc32(raw: bytes) -> int:
     return zlib.crc32(raw) & 0xFFFFFFFF
+
+
+_KINDS = {
+    "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+    "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()),
+}
+
+
+def schema_of(columns: str) -> pa.Schema:
+    """The Arrow schema of ``name type, name type``."""
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)

@@ -37,6 +37,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pairloom.llm.common import batch_of, schema_of
 from pairloom.session import write_through
 
 #: Turns that are aligned at once.
@@ -207,7 +208,7 @@ _LEGAL = {"su", "ua", "au"}
 def _audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each conversation, from light rows in order. ``kind`` 0 names the conversation, 1 is the first place
     of a turn's role and text, 2 a turn."""
-    schema = _schema(_AUDITS)
+    schema = schema_of(_AUDITS)
     conv, state, out = None, None, []
 
     def fresh() -> dict:
@@ -249,21 +250,12 @@ def _audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     s["truncated"] += mark == "t"
                     s["classes"].append(initial.upper() if mark == "t" else initial)
         if out:
-            yield _batch(out, schema)
+            yield batch_of(out, schema)
             out = []
     if state is not None:
         finish()
     if out:
-        yield _batch(out, schema)
-
-
-def _schema(columns: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
-    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(", "))])
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        yield batch_of(out, schema)
 
 
 # Ascending order puts nulls first.
@@ -334,7 +326,7 @@ def _behind_audits(rows: DataFrame, found: DataFrame) -> DataFrame:
 def repaired(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(conv_id, place, edit, role, text): the turns of the repaired conversations; deleted ones are gone."""
     columns = "conv_id long, place long, edit string, role string, text string"
-    schema = _schema(columns)
+    schema = schema_of(columns)
 
     def edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, place, out = None, 0, []
@@ -345,10 +337,10 @@ def repaired(rows: DataFrame, found: DataFrame) -> DataFrame:
                 out.append((conv, place, *rest))
                 place += 1
             elif event == "batch" and out:
-                yield _batch(out, schema)
+                yield batch_of(out, schema)
                 out = []
         if out:
-            yield _batch(out, schema)
+            yield batch_of(out, schema)
 
     return _behind_audits(rows, found).mapInArrow(edit, columns)
 
@@ -357,7 +349,7 @@ def digest_repaired(rows: DataFrame) -> DataFrame:
     """Faults, cost, audit and ``repaired_sha256`` (of the repaired ``role:text``, joined by newlines) of every conversation."""
     found = write_through(audits(rows))
     columns = _AUDITS + ", repaired_sha256 string"
-    schema = _schema(columns)
+    schema = schema_of(columns)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, sha, any_, out = None, None, False, []
@@ -374,10 +366,10 @@ def digest_repaired(rows: DataFrame) -> DataFrame:
                 sha.update(f"{chr(10) if any_ else ''}{rest[1]}:{rest[2]}".encode())
                 any_ = True
             elif event == "batch" and out:
-                yield _batch(out, schema)
+                yield batch_of(out, schema)
                 out = []
         finish()
         if out:
-            yield _batch(out, schema)
+            yield batch_of(out, schema)
 
     return _behind_audits(rows, found).mapInArrow(digest, columns)
