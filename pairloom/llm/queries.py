@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import byte_bpe, chat_tree, conversation_repair, language_id, license_scan, markov_lm, multi_index, ngram_join, packing, plane_store, quality, url_rules
+from pairloom.llm import byte_bpe, chat_tree, conversation_repair, hard_negatives, language_id, license_scan, markov_lm, multi_index, ngram_join, packing, plane_store, quality, url_rules
 from pairloom.llm.common import crc32_bucket, read
 from pairloom.session import write_through
 
@@ -80,6 +80,15 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.digest_repaired(conversation_repair.damage(read(spark, folder, "conversations")))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, with whole-numbered components and some labels shifted."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = read(spark, folder, "embeddings").filter(finite).select("vec_id", shifted.alias("label"), whole.alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_chat_tree(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and the contract's own as prefix trees, written and read back."""
     rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -100,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_markov_lm": op9_markov_lm,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_chat_tree": op13_chat_tree,
 }
 
@@ -124,4 +134,16 @@ ORACLE: dict[str, str] = {
           regexp_matches(host || path, '^([^/]*[.-])?({_BAD_HOST})[.-]') OR
           regexp_matches(host || path, '/({_NO_CONTENT})([/.]|$)') THEN 'block' ELSE 'allow' END) AS verdict
       FROM urls LEFT JOIN fitting USING (id)""",
+    "op12_hard_negatives": """WITH whole AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+        FROM whole a JOIN whole r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+      positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+      SELECT anchor_id, positive_id, row_number() OVER near::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+      FROM positives JOIN scored USING (anchor_id)
+      WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+      WINDOW near AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER near <= 5""",
 }
