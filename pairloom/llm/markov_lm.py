@@ -11,14 +11,15 @@ expected counts; the sums over partitions make the next model (``ROUNDS`` times)
 so their sums do not depend on the order of addition. The texts of a block are recursed side by side, each from its
 first word to its end, so every transition is counted. Scoring is exact too: one scaled forward recursion from the first word to the end of every whole text.
 
-Scale: texts are read once, into blocks of about ``BLOCK_CHARS`` characters held as numbers. The distinct words of a
-block meet the corpus counts in a join on the word, and come back as one list per block; so what is shuffled is the
-distinct words of blocks, not the tokens, and a word that every text holds has one row a block. Blocks are never
-collected: the driver sees sums of fixed size.
+Scale: texts are read once, into blocks of about ``BLOCK_CHARS`` characters held as numbers, beside the training texts'
+classes in the order of the recursions. The distinct words of a block meet those of all blocks in one shuffle by word,
+and go back to their block as (place, count); so what is shuffled is the distinct words of blocks, not the tokens, and a
+word that every text holds has one row a block. Blocks are never collected: the driver sees sums of fixed size.
 
 Defined cases: a null text counts as empty, that is one end; rows with a null doc_id are scored, not learnt from, and
 their held_out is null; repeated rows count and are scored row by row; with nothing to learn from, the model is
-uniform and train_tokens is 0; an empty table gives no rows; other columns are not read.
+uniform and train_tokens is 0; a text longer than a block is a block of its own, so a task holds the longest text; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,60 +30,83 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pairloom.llm.common import crc32_bucket
-from pairloom.llm.spans import distinct, words
+from pairloom.llm.spans import distinct, hashes, words
 from pairloom.session import write_through
 
 STATES, CLASSES, ROUNDS = 8, 1 << 14, 4
-#: Characters of a block.
-BLOCK_CHARS = 6_000_000
+#: Characters of a block, and tokens that are recursed together.
+BLOCK_CHARS, GROUP_TOKENS = 6_000_000, 500_000
 #: Fixed point of expected counts.
 _UNIT = 1 << 20
-_LN10 = np.log(10.0)
 
+
+# ---------------------------------------------------------------------------------------- blocks
+
+# Three kinds of rows: a block (doc_ids to classes), a group of its training texts (active, learnt), a word.
+_ROWS = pa.schema(
+    [
+        ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
+        ("tokens", pa.binary()), ("classes", pa.binary()), ("active", pa.binary()), ("learnt", pa.binary()),
+        ("place", pa.int32()), ("word", pa.string()), ("count", pa.int64()), ("class", pa.int32()),
+    ]
+)
 _BLOCK = (
-    "doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, classes binary, "
-    "words array<string>, counts array<long>, block long"
+    "block long, doc_ids array<long>, held array<boolean>, lengths array<long>, tokens binary, classes binary, active binary, "
+    "learnt binary, place int, word string, count long, class int"
 )
 
 
-# ---------------------------------------------------------------------------------------- blocks
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ROWS]
+    return pa.RecordBatch.from_arrays(arrays, schema=_ROWS)
 
 
-def _number(block_texts: list[str], trains: list[bool]) -> tuple:
-    """Texts as numbers of the block's distinct words; number 0 is the end."""
+def _number(block_texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Texts as places in the block's distinct words, place 0 being the end: lengths, tokens, and of each place the class
+    and the word. White space is in no word, so a space stands for the end."""
     raw, first, last, counts = words(block_texts)
-    codes, sample = distinct(raw, first, last) if len(first) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    view = raw.tobytes()
-    names = [view[a:b] for a, b in zip(first[sample].tolist(), last[sample].tolist())]
-    classes = np.array([CLASSES, *(xxhash.xxh3_64_intdigest(w) % CLASSES for w in names)], "<u2")
+    codes, sample = distinct(raw, first, last)
+    # Words and the gaps between them, as one array of strings.
+    edges = np.column_stack([first, last]).astype("<i4").ravel()
+    every = pa.Array.from_buffers(pa.string(), max(0, len(edges) - 1), [None, pa.py_buffer(edges), pa.py_buffer(raw)])
+    names = pa.concat_arrays([pa.array([" "]), every.take(pa.array(2 * sample))])
+    classes = np.append(CLASSES, hashes(raw, first[sample], last[sample]) % np.uint64(CLASSES)).astype("<u2")
     lengths = counts + 1
-    ends = np.cumsum(lengths)
     tokens = np.zeros(int(lengths.sum()), "<i4")
     is_word = np.ones(len(tokens), bool)
-    is_word[ends - 1] = False
+    is_word[np.cumsum(lengths) - 1] = False
     tokens[is_word] = codes + 1
-    learnt = np.repeat(np.array(trains, bool), lengths)
-    count = np.bincount(tokens[learnt], minlength=len(names) + 1)
-    # White space is in no word, so a space can stand for the end.
-    return lengths, tokens, classes, [" ", *(n.decode() for n in names)], count
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    pack, first = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
-    numbers = itertools.count(first)
+    return lengths, tokens, classes, names
+
+
+def _block_rows(number: int, ids: list, texts: list[str], held: list) -> Iterator[pa.RecordBatch]:
+    lengths, tokens, classes, names = _number(texts)
+    learnt = np.array([h is False for h in held], bool)
+    inside = np.repeat(learnt, lengths)
+    counts = np.bincount(tokens[inside], minlength=len(classes))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    yield _rows(
+        block=pa.array([number]), doc_ids=pa.array([ids], pa.list_(pa.int64())), held=pa.array([held], pa.list_(pa.bool_())),
+        lengths=pa.array([lengths.tolist()]), tokens=pa.array([pack(tokens.tobytes())]), classes=pa.array([classes.tobytes()]),
+    )
+    known = classes[tokens[inside]]
+    for _, active, at in recursed(lengths[learnt]):
+        yield _rows(block=pa.array([number]), active=pa.array([active.astype("<i4").tobytes()]), learnt=pa.array([known[at].tobytes()]))
+    n = len(classes)
+    yield _rows(
+        block=pa.array(np.full(n, number)), place=pa.array(np.arange(n, dtype=np.int32)), word=names,
+        count=pa.array(counts), **{"class": pa.array(classes.astype(np.int32))},
+    )
 
-    def block(ids: list, texts: list[str], held: list) -> pa.RecordBatch:
-        lengths, tokens, classes, names, count = _number(texts, [h is False for h in held])
-        packed = pack(tokens.tobytes())
-        rows = [[ids], [held], [lengths.tolist()], [packed], [classes.tobytes()], [names], [count.tolist()], [next(numbers)]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema)], schema=schema)
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers = itertools.count(TaskContext.get().partitionId() << 32)
     ids, texts, held, size = [], [], [], 0
     for batch in batches:
         for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns)):
@@ -91,19 +115,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
             held.append(out)
             size += len(text or "") + 1
             if size >= BLOCK_CHARS:
-                yield block(ids, texts, held)
+                yield from _block_rows(next(numbers), ids, texts, held)
                 ids, texts, held, size = [], [], [], 0
     if ids:
-        yield block(ids, texts, held)
-
-
-_ARROW = pa.schema(
-    [
-        ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())),
-        ("tokens", pa.binary()), ("classes", pa.binary()), ("words", pa.list_(pa.string())),
-        ("counts", pa.list_(pa.int64())), ("block", pa.int64()),
-    ]
-)
+        yield from _block_rows(next(numbers), ids, texts, held)
 
 
 def blocks(docs: DataFrame, modulus: int = 5, out: int = 1) -> DataFrame:
@@ -112,8 +127,7 @@ def blocks(docs: DataFrame, modulus: int = 5, out: int = 1) -> DataFrame:
     Block numbers are those of the tasks that make them, so blocks have to be written before they are used.
     """
     held = crc32_bucket(F.col("doc_id"), modulus) == out
-    tagged = docs.select(F.col("doc_id").cast("long"), "text", held.alias("held"))
-    return tagged.mapInArrow(lambda batches: _blocks(batches, _ARROW), _BLOCK)
+    return docs.select(F.col("doc_id").cast("long"), "text", held.alias("held")).mapInArrow(_blocks, _BLOCK)
 
 
 # ---------------------------------------------------------------------------------------- model
@@ -147,78 +161,97 @@ class Model:
         return Model(normal(first), normal(share), normal(chain), emit / emit.sum(axis=0))
 
 
-def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences from the longest to the shortest, and how many of them have a word at each place."""
+def recursed(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequences in groups of about ``GROUP_TOKENS``, from the longest to the shortest: their numbers, how many of
+    them have a token at each place, and where the tokens stand, first places first."""
     order = np.argsort(-lengths, kind="stable")
-    longest = int(lengths.max(initial=0))
-    return order, len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), side="right")
+    starts, ends = np.cumsum(lengths) - lengths, np.cumsum(lengths[order])
+    for part in np.split(order, np.flatnonzero(np.diff(ends // GROUP_TOKENS)) + 1):
+        n = lengths[part]
+        if not n.sum():
+            continue
+        active = len(n) - np.searchsorted(n[::-1], np.arange(n[0]), side="right")
+        offsets = np.cumsum(active) - active
+        time = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.empty(len(time), np.int64)
+        at[offsets[time] + np.repeat(np.arange(len(n)), n)] = time + np.repeat(starts[part], n)
+        yield part, active, at
+
+
+def _forward(first: np.ndarray, chain: np.ndarray, emitted: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward probabilities of all places, and their scales."""
+    alpha, scales = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype)
+    ones = np.ones(STATES, emitted.dtype)
+    before, at = None, 0
+    for n in active.tolist():
+        now, scale, here = alpha[at : at + n], scales[at : at + n], emitted[at : at + n]
+        if before is None:
+            np.multiply(here, first, out=now)
+        else:
+            np.dot(before[:n], chain, out=now)
+            now *= here
+        np.dot(now, ones, out=scale)
+        now /= scale[:, None]
+        before, at = now, at + n
+    return alpha, scales
 
 
-def _tokens(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i4")
+def expected_of(model: Model, active: np.ndarray, classes: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Expected counts of a group laid out by ``recursed``, as ``Model.of`` takes them; recursions are of the given ``kind``."""
+    counts = np.zeros((CLASSES + 1 + STATES + 1, STATES))
+    chain = model.chain.astype(kind)
+    back = np.ascontiguousarray(chain.T)
+    emitted = model.emit.astype(kind)[classes]
+    alpha, scales = _forward(model.first.astype(kind), chain, emitted, active)
+    emitted /= scales[:, None]
+    moved, sizes = np.zeros((STATES, STATES)), active.tolist()
+    at = len(classes) - sizes[-1]
+    behind = emitted[at:]
+    for n in sizes[-2::-1]:
+        to, at, m = at, at - n, len(behind)
+        now, here = alpha[at : at + m], emitted[at:to]
+        moved += np.dot(now.T, behind)
+        beta = np.dot(behind, back)
+        now *= beta  # these are the expected states now; beta is 1 where a sequence ends
+        here[:m] *= beta
+        behind = here
+    for k in range(STATES):
+        counts[: CLASSES + 1, k] = np.bincount(classes, alpha[:, k], minlength=CLASSES + 1)
+    counts[CLASSES + 1 : -1] = moved * chain
+    counts[-1] = alpha[: sizes[0]].sum(axis=0)
+    return counts
 
 
 def expected(model: Model, lengths: np.ndarray, classes: np.ndarray, kind: type = np.float64) -> np.ndarray:
-    """Expected counts of some texts, laid out as ``Model.of`` takes them; recursions are of the given ``kind``."""
+    """Expected counts of some texts, one behind the other."""
     counts = np.zeros((CLASSES + 1 + STATES + 1, STATES))
-    if not len(classes):
-        return counts
-    order, active = _by_length(lengths)
-    starts = (np.cumsum(lengths) - lengths)[order]
-    emit, chain = model.emit.astype(kind), model.chain.astype(kind)
-    alpha, scales = [], []
-    now = np.tile(model.first, (len(lengths), 1)).astype(kind)
-    for t, n in enumerate(active.tolist()):
-        now = (now if t == 0 else now[:n] @ chain) * emit[classes[starts[:n] + t]]
-        scale = now.sum(axis=1, keepdims=True)
-        now = now / scale
-        alpha.append(now)
-        scales.append(scale)
-    moved = np.zeros((STATES, STATES))
-    behind = np.zeros((0, STATES), kind)
-    gammas, at = [], []
-    for t in range(len(active) - 1, -1, -1):
-        n = int(active[t])
-        beta = np.ones((n, STATES), kind)
-        if len(behind):
-            moved += alpha[t][: len(behind)].T @ behind
-            beta[: len(behind)] = behind @ chain.T
-        gamma = alpha[t] * beta
-        gammas.append(gamma)
-        at.append(classes[starts[:n] + t])
-        if t:
-            behind = beta * emit[at[-1]] / scales[t]
-    gamma, at = np.concatenate(gammas), np.concatenate(at)
-    for k in range(STATES):
-        counts[: CLASSES + 1, k] = np.bincount(at, gamma[:, k], minlength=CLASSES + 1)
-    counts[CLASSES + 1 : -1] = moved * chain
-    counts[-1] = gammas[-1].sum(axis=0)
+    for _, active, at in recursed(lengths):
+        counts += expected_of(model, active, classes[at], kind)
     return counts
 
 
 def likelihoods(model: Model, lengths: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Log10 probability of each sequence of classes, by one scaled forward recursion."""
-    order, active = _by_length(lengths)
-    starts = (np.cumsum(lengths) - lengths)[order]
     total = np.zeros(len(lengths))
-    now = np.tile(model.first, (len(lengths), 1))
-    for t, n in enumerate(active.tolist()):
-        now = (now if t == 0 else now[:n] @ model.chain) * model.emit[classes[starts[:n] + t]]
-        scale = now.sum(axis=1)
-        now /= scale[:, None]
-        total[:n] += np.log10(scale)
-    out = np.empty_like(total)
-    out[order] = total
-    return out
+    for part, active, at in recursed(lengths):
+        _, scales = _forward(model.first, model.chain, model.emit[classes[at]], active)
+        rank = np.concatenate([np.arange(n) for n in active.tolist()])
+        total[part] = np.bincount(rank, np.log10(scales), minlength=len(part))
+    return total
 
 
 # ---------------------------------------------------------------------------------------- jobs
 
 
-def vocabulary(written: DataFrame) -> DataFrame:
-    """(word, c): training tokens of every word of the corpus, 0 for words that only held-out texts have."""
-    pairs = written.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    return pairs.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("c"))
+def counted(written: DataFrame) -> DataFrame:
+    """(block, place, c, kind): the training tokens of every word of every block, 0 for words that only held-out texts
+    have. ``kind`` is the class in one row of each word that was learnt, and else null."""
+    by_word = Window.partitionBy("word")
+    pairs = written.filter("word IS NOT NULL").select("block", "place", "word", "count", "class")
+    found = pairs.select(
+        "block", "place", F.sum("count").over(by_word).alias("c"), "class", (F.col("block") == F.min("block").over(by_word)).alias("once")
+    )
+    return found.select("block", "place", "c", F.when(F.col("once") & (F.col("c") > 0), F.col("class")).alias("kind"))
 
 
 def _round(written: DataFrame, model: Model) -> np.ndarray:
@@ -230,22 +263,22 @@ def _round(written: DataFrame, model: Model) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES + 1 + STATES + 1, STATES))
         for batch in batches:
-            for held, lengths, tokens, classes in zip(*(c.to_pylist() for c in batch.columns)):
-                lengths = np.array(lengths, np.int64)
-                learnt = np.array([h is False for h in held], bool)
-                classes = np.frombuffer(classes, "<u2")[_tokens(tokens)[np.repeat(learnt, lengths)]]
-                total += expected(shared.value, lengths[learnt], classes, np.float32)
+            for active, learnt in zip(*batch.columns):
+                active, learnt = (np.frombuffer(x.as_buffer(), t) for x, t in ((active, "<i4"), (learnt, "<u2")))
+                total += expected_of(shared.value, active, learnt, np.float32)
         rows = np.flatnonzero(total.any(axis=1))
         fixed = np.rint(total[rows] * _UNIT).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(c) for c in fixed.T)], schema=schema)
 
-    found = written.select("held", "lengths", "tokens", "classes").mapInArrow(
+    found = written.filter("learnt IS NOT NULL").select("active", "learnt").mapInArrow(
         count, "row int, " + ", ".join(f"{n} long" for n in names)
     )
+    # In two halves, whose sums no number of tasks can make overflow.
+    halves = [F.sum(F.shiftright(n, 32)) for n in names] + [F.sum(F.col(n).bitwiseAND((1 << 32) - 1)) for n in names]
     counts = np.zeros((CLASSES + 1 + STATES + 1, STATES))
     # One row for each class and state.
-    for row in found.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).collect():
-        counts[row[0]] = row[1:]
+    for row in found.groupBy("row").agg(*halves).collect():
+        counts[row[0]] = np.array(row[1 : 1 + STATES], float) * 2.0**32 + np.array(row[1 + STATES :], float)
     return counts / _UNIT
 
 
@@ -260,28 +293,18 @@ class Trained:
 
 def train(written: DataFrame, words_: DataFrame, rounds: int = ROUNDS) -> Trained:
     """Learn the model from the training texts of all blocks."""
-    classed = words_.mapInArrow(_by_class, "class int, c long, types long")
     tokens, types = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for row in classed.groupBy("class").agg(F.sum("c"), F.sum("types")).collect():
-        tokens[row[0]], types[row[0]] = row[1], row[2]
+    # One row for each class.
+    for class_, n in written.filter("word IS NOT NULL").groupBy("class").agg(F.sum("count")).collect():
+        tokens[class_] = n
+    for class_, n in words_.filter("kind IS NOT NULL").groupBy("kind").count().collect():
+        types[class_] = n
     model = Model.start(tokens)
     for _ in range(rounds):
         model = Model.of(_round(written, model), tokens)
     return Trained(model, tokens, types, int(tokens.sum()), int(types.sum()))
 
 
-def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        at = np.array([CLASSES if w == " " else xxhash.xxh3_64_intdigest(w) % CLASSES for w in names], np.int64)
-        tokens = np.bincount(at, counts, minlength=CLASSES + 1).astype(np.int64)
-        types = np.bincount(at[counts > 0], minlength=CLASSES + 1)
-        rows = np.unique(at)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rows.astype(np.int32)), pa.array(tokens[rows]), pa.array(types[rows])], ["class", "c", "types"]
-        )
-
-
 _SCORES = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -290,38 +313,33 @@ _SCORES = (
 def score(written: DataFrame, words_: DataFrame, trained: Trained) -> DataFrame:
     """Both scores of every document."""
     shared = written.sparkSession.sparkContext.broadcast(trained)  # of fixed size
-    pairs = written.select("block", F.posexplode("words").alias("place", "word"))
-    known = (
-        pairs.join(words_, "word")
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "c"))).alias("known"))
-        .select("block", F.col("known.c").alias("known"))
-    )
-    rows = written.select("block", "doc_ids", "held", "lengths", "tokens", "classes").join(known, "block")
+    names = [c.split()[0] for c in _SCORES.split(", ")]
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(block: pa.Table, known: pa.Table) -> pa.Table:
         t: Trained = shared.value
-        for batch in batches:
-            for ids, held, lengths, tokens, classes, known in zip(*(c.to_pylist() for c in batch.columns)):
-                c, lengths = np.array(known, float), np.array(lengths, np.int64)
-                classes, tokens = np.frombuffer(classes, "<u2"), _tokens(tokens)
-                base = np.log10((c + 0.5) / (t.total + 0.5 * (t.distinct + 1)))
-                inside = np.log10((c + 0.5) / (t.tokens[classes] + 0.5 * (t.types[classes] + 1)))
-                starts = np.cumsum(lengths) - lengths
-                add = lambda values: np.add.reduceat(values[tokens], starts)
-                columns = [
-                    pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(lengths),
-                    pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(ids), t.total, np.int64)),
-                    pa.array(add(base)), pa.array(likelihoods(t.model, lengths, classes[tokens]) + add(inside)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SCORES.split(", ")])
-
-    columns = rows.select("doc_ids", "held", "lengths", "tokens", "classes", "known")
-    return columns.mapInArrow(scored, _SCORES)
+        ids, held, lengths = (block[c].combine_chunks().flatten() for c in ("doc_ids", "held", "lengths"))
+        lengths = lengths.to_numpy()
+        classes = np.frombuffer(block["classes"][0].as_buffer(), "<u2")
+        tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(block["tokens"][0].as_buffer()), "<i4")
+        c = np.empty(len(classes))
+        c[known["place"].to_numpy()] = known["c"].to_numpy()
+        base = np.log10((c + 0.5) / (t.total + 0.5 * (t.distinct + 1)))
+        inside = np.log10((c + 0.5) / (t.tokens[classes] + 0.5 * (t.types[classes] + 1)))
+        starts = np.cumsum(lengths) - lengths
+        add = lambda values: np.add.reduceat(values[tokens], starts)
+        columns = [
+            ids, held, pa.array(lengths), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(len(ids), t.total, np.int64)),
+            pa.array(add(base)), pa.array(likelihoods(t.model, lengths, classes[tokens]) + add(inside)),
+        ]
+        return pa.table(columns, names)
+
+    rows = written.filter("tokens IS NOT NULL").select("block", "doc_ids", "held", "lengths", "tokens", "classes")
+    places = words_.select("block", "place", "c")
+    return rows.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(scored, _SCORES)
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Train on the documents that are not held out and score all."""
     written = write_through(blocks(docs))
-    words_ = write_through(vocabulary(written))
+    words_ = write_through(counted(written))
     return score(written, words_, train(written, words_, rounds))

@@ -285,6 +285,30 @@ def test_markov_scores(spark):
     assert markov_lm.score_documents(tables.empty(spark)).count() == 0
 
 
+def test_markov_score_is_the_log_probability(spark):
+    """The column ``score`` against a plain sum over places, with the model that the query trains."""
+    rows = [(r[0], r[1]) for r in tables.awkward() if len(r[1] or "") < 6000] + tables.some(FOLDER, "documents", "doc_id + 100, text", "length(text) < 3000")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    written = markov_lm.write_through(markov_lm.blocks(docs))
+    places = markov_lm.write_through(markov_lm.counted(written))
+    trained = markov_lm.train(written, places, 2)
+    known = written.filter("word IS NOT NULL").select("block", "place", "word", "class").join(places, ["block", "place"]).collect()
+    c, kind = {r["word"]: r["c"] for r in known}, {r["word"]: r["class"] for r in known}
+    types = Counter(kind[w] for w, n in c.items() if n)
+    tokens = Counter()
+    for w, n in c.items():
+        tokens[kind[w]] += n
+    model, expected = trained.model, []
+    for doc_id, text in rows:
+        state, score = None, 0.0
+        for w in [*tables.words(tables.lower(text)), " "]:
+            state = (model.first if state is None else state @ model.chain) * model.emit[kind[w]]
+            score += math.log10(state.sum()) + math.log10((c[w] + 0.5) / (tokens[kind[w]] + 0.5 * (types[kind[w]] + 1)))
+            state = state / state.sum()
+        expected.append((doc_id, round(score, 6)))
+    assert tables.bag((r["doc_id"], round(r["score"], 6)) for r in markov_lm.score(written, places, trained).collect()) == tables.bag(expected)
+
+
 def test_markov_beats_word_counts_on_held_out_texts(spark):
     rows = [r for r in queries.op9_markov_lm(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert len(rows) > 100 and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
