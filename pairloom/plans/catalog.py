@@ -19,7 +19,7 @@ from pairloom.functions.text import (
     strip_punctuation,
     token_set,
 )
-from pairloom.operators import blocking, clean, clusters, evaluate, matching, profile
+from pairloom.operators import blocking, clean, clusters, editjoin, evaluate, matching, profile
 from pairloom.plans import sweeps
 from pairloom.plans.tables import (
     BRANDS,
@@ -219,6 +219,22 @@ def roundtrip_records(spark, folder):
     return readers.read_records(spark, path)
 
 
+@query("roundtrip_raw_records")
+def roundtrip_raw_records(spark, folder):
+    """Documents as they are and pages with their markup as CSV: line breaks, quotes, missing and empty values."""
+    pages = read_text(spark, folder, "pages").select(
+        F.nullif(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("paper_title"),
+        F.col("html").alias("author_names"),
+        F.try_to_number(F.nullif(F.regexp_extract("url", "/([0-9]+)(?:$|[?#])", 1), F.lit("")), F.lit("999999")).cast("int").alias("year"),
+        # Empty where the path names no language.
+        F.regexp_extract("url", "/([a-z]{2})/", 1).alias("publication_venue"),
+        F.concat(F.lit("p"), F.col("page_id")).alias("index"),
+    )
+    path = scratch_path(spark)
+    writers.write_records(_documents(spark, folder).unionByName(pages), path)
+    return readers.read_records(spark, path)
+
+
 @query("roundtrip_pairs")
 def roundtrip_pairs(spark, folder):
     path = scratch_path(spark)
@@ -232,7 +248,7 @@ def roundtrip_scores(spark, folder):
     path = scratch_path(spark)
     pairs = _rounded(title_pairs(spark, folder, 0.7))
     writers.write_scored_pairs(pairs, path)
-    return spark.read.schema(pairs.schema).csv(path, header=True)
+    return readers.read_scored_pairs(spark, path, pairs.schema)
 
 
 @query("roundtrip_clusters")
@@ -528,6 +544,20 @@ def match_two_level_similar(spark, folder):
     )
 
 
+@query("match_title_ratio_85")
+def match_title_ratio_85(spark, folder):
+    """Part names with an edit similarity of 0.85."""
+    return _rounded(editjoin.similar_texts(*part_sources(spark, folder), "paper_title", 0.85))
+
+
+@query("match_url_ratio_85")
+def match_url_ratio_85(spark, folder):
+    """Addresses of mobile and blog hosts and of all others with an edit similarity of 0.85."""
+    pages = read_text(spark, folder, "pages").select(F.col("page_id").cast("string").alias("index"), "url")
+    first = F.coalesce(F.col("url").rlike("^https?://(m|blog)[.]"), F.lit(False))
+    return _rounded(editjoin.similar_texts(pages.filter(first), pages.filter(~first), "url", 0.85))
+
+
 @query("class_members")
 def class_members(spark, folder):
     return matching.class_members(*document_sources(spark, folder), TITLE)

@@ -829,3 +829,25 @@ ORACLE["roundtrip_records"] = ORACLE["prepare_records"]
 ORACLE["roundtrip_pairs"] = f"WITH {title_pairs('p', 0.7)} SELECT rep1 AS id1, rep2 AS id2 FROM p"
 ORACLE["roundtrip_scores"] = ORACLE["baseline_jac_title_70"]
 ORACLE["roundtrip_clusters"] = ORACLE["clusters_components"]
+ORACLE["roundtrip_raw_records"] = f"""WITH {DOCS}
+  SELECT paper_title, author_names, year, publication_venue, "index" FROM docs UNION ALL
+  SELECT nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), html,
+    nullif(regexp_extract(url, '/([0-9]+)(?:$|[?#])', 1), '')::int, regexp_extract(url, '/([a-z]{{2}})/', 1),
+    'p' || page_id FROM pages"""
+
+# ------------------------------------------------------------------------- edit similarity
+
+
+def _ratio_pairs(rows: str, threshold: float) -> str:
+    """All pairs of distinct ASCII texts, compared one by one."""
+    return f"""WITH {rows}, t AS (SELECT side, text, min("index") AS rep, count(*) AS n FROM texts GROUP BY ALL),
+      p AS (SELECT a.rep AS rep1, b.rep AS rep2, a.n AS n1, b.n AS n2,
+        1 - levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) AS sim
+        FROM t a JOIN t b ON a.side = 'a' AND b.side = 'b')
+      SELECT rep1, rep2, n1, n2, round(sim, 6) AS sim FROM p WHERE sim >= {threshold}"""
+
+
+ORACLE["match_title_ratio_85"] = _ratio_pairs(f'{PARTS}, texts AS (SELECT side, paper_title AS text, "index" FROM parts)', 0.85)
+ORACLE["match_url_ratio_85"] = _ratio_pairs(
+    """texts AS (SELECT CASE WHEN regexp_matches(url, '^https?://(m|blog)[.]') THEN 'a' ELSE 'b' END AS side,
+      url AS text, page_id::varchar AS "index" FROM pages)""", 0.85)
