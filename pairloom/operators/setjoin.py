@@ -20,8 +20,10 @@ from pairloom.session import write_through
 
 #: Slack for rounding: a filter may keep too much but never drop a true pair.
 EPSILON = 1e-9
-#: Above this threshold frequent tokens are taken in pairs of neighbours.
+#: Above this threshold frequent tokens are taken in pairs of neighbours, at or below it in combinations.
 PAIRED = 0.6
+#: Combinations of frequent tokens that are keys, for each token of all sets, at most.
+COMBINED = 4
 #: 64-bit words of the bitmap of a set.
 WORDS = 16
 
@@ -32,10 +34,12 @@ def ranked_sets(left: DataFrame, right: DataFrame, items: str, carry: Sequence[s
     Gives (side, id, ``carry``…, size, tokens, skipped, bits): ``tokens`` are the tokens that both sides
     know, rarest first, and ``skipped`` counts the others, which come before them in the order and cannot
     bring a pair together. ``bits`` are the parities of the tokens at each of 64 x WORDS places.
-    Written out, so the texts behind the sets are counted and ranked once.
+    Written out, so the texts behind the sets are counted and ranked once. Tokens are 64-bit hashes from here on: they
+    find candidates, and whoever verifies these looks at the sets themselves.
     """
     carry = list(carry)
-    columns = ["id", *carry, F.size(items).alias("size"), F.explode(items).alias("item")]
+    hashes = F.array_distinct(F.transform(items, lambda t: F.xxhash64(t)))
+    columns = ["id", *carry, F.size(items).alias("size"), F.explode(hashes).alias("item")]
     words = left.select(F.lit(1).alias("side"), *columns).unionAll(
         right.select(F.lit(2).alias("side"), *columns)
     )
@@ -43,7 +47,7 @@ def ranked_sets(left: DataFrame, right: DataFrame, items: str, carry: Sequence[s
         F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")
     )
     shared = counts.filter("n1 > 0 AND n2 > 0").select("item", (F.col("n1") + F.col("n2")).alias("n"))
-    place = F.pmod(F.xxhash64("item"), F.lit(64 * WORDS)).cast("int")
+    place = F.pmod("item", F.lit(64 * WORDS)).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place % 64)
     words_of_bits = [
         F.coalesce(F.bit_xor(F.when(F.floor(place / 64) == k, bit)), F.lit(0).cast("bigint")) for k in range(WORDS)
@@ -66,35 +70,43 @@ def candidate_pairs(
 
     Sizes of similar sets differ by a factor of 1 / threshold at most, so the logarithm of the size is
     part of the key. Rare tokens, which at most ``frequent`` sets hold (by default the root of the number of
-    sets, so that a token brings no more pairs than there are sets), are keys of their own. Above a
-    threshold of ``PAIRED`` frequent tokens are keys only together with the next token of the set:
+    sets, so that a token brings no more pairs than there are sets), are keys of their own. Frequent tokens never
+    are, so that no key holds a fixed share of all sets. Above a threshold of ``PAIRED`` they are keys only together with the
+    next token of the set:
 
     similar sets have 2 |x - y| + |y - x| <= 2 (1 - t) |x|. If no rare token is shared, all ``absent`` unshared and rare
     tokens of x are among x - y. Each further token of x alone breaks at most two neighbourhoods of frequent
     tokens and each one of y alone at most one, so among the first floor(2 (1 - t) |x|) - 2 absent + 2 frequent
     tokens one neighbourhood is whole in both. Sets too small to have so many keep all tokens as single keys.
+
+    Below that the first tokens that two sets share are keys in combinations, as many as their counts ask for: if no
+    rare token is shared, x misses at most ``left`` of its frequent ones, so the first two shared ones are among the
+    first left + 2 and the first three among the first left + 3. Two tokens are a key where, by their counts, about ``frequent`` sets or
+    fewer hold both, and else go on to a third one. Sets that may share no more than one or two tokens at all have
+    keys for just those, which meet one another alone. Where that makes more than ``COMBINED`` keys a token of the input,
+    ``frequent`` is doubled.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must lie in (0, 1]")
     block = list(block)
-    frequent = ranked.count() ** 0.5 if frequent is None else frequent
-    size, none = F.col("size"), F.lit("")
+    total, tokens = ranked.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    frequent = total**0.5 if frequent is None else frequent
+    size, none = F.col("size"), F.lit(0).cast("bigint")
     need = F.ceil(threshold * size - EPSILON).cast("int")
-    rare = F.size(F.filter("tokens", lambda t: t["n"] <= frequent))
-    ordered = (
-        # Sets that share too little with the whole other side to reach any partner go at once.
-        ranked.withColumn("need", need)
-        .filter(F.size("tokens") >= F.col("need"))
-        .withColumn("rare", rare)
-    )
+    # Sets that share too little with the whole other side to reach any partner go at once.
+    able = ranked.withColumn("need", need).filter(F.size("tokens") >= F.col("need"))
+    if threshold <= PAIRED:
+        frequent = _affordable(able, frequent, total, COMBINED * tokens)
+    ordered = able.withColumn("rare", F.size(F.filter("tokens", lambda t: t["n"] <= frequent)))
     prefix = F.greatest(size - F.col("need") + 1 - F.col("skipped"), F.lit(0))
-    kind = "array<struct<item:string,next:string,place:int>>"
+    kind = "array<struct<item:bigint,next:bigint,place:int>>"
     every = F.transform(
         F.slice("tokens", F.lit(1), prefix),
         lambda t, i: F.struct(t["item"].alias("item"), none.alias("next"), (F.col("skipped") + i).alias("place")),
     ).cast(kind)
     if threshold <= PAIRED:
-        keys = every
+        singles = F.slice(every, F.lit(1), F.least(F.col("rare"), F.size(every)))
+        keys = F.concat(singles, _combined(frequent, total).cast(kind))
     else:
         small = size * threshold < 2 / (2 * threshold - 1) + 1
         singles = F.when(small, every).otherwise(F.slice(every, F.lit(1), F.col("rare")))
@@ -133,6 +145,59 @@ def candidate_pairs(
     )
 
 
+def _left(frequent: float) -> Column:
+    """Frequent tokens that a set may miss in a similar one if that has none of its rare ones; negative: it has one."""
+    rare = F.size(F.filter("tokens", lambda t: t["n"] <= frequent))
+    return F.col("size") - F.col("need") - F.col("skipped") - rare
+
+
+def _affordable(able: DataFrame, frequent: float, total: int, most: float) -> float:
+    """``frequent``, doubled until no more than ``most`` pairs of tokens are keys."""
+    steps = [frequent * 2**k for k in range(40) if not k or frequent * 2 ** (k - 1) < total]
+    pairs = [F.sum(let(F.greatest(_left(f) + 2, F.lit(0)), lambda n: (n * (n - 1) / 2))) for f in steps]
+    counts = able.agg(*pairs).first()
+    return next((f for f, n in zip(steps, counts) if (n or 0) <= most), steps[-1])
+
+
+def _combined(frequent: float, total: int) -> Column:
+    """Keys (item, next, place) of the combinations of frequent tokens of a set, for thresholds up to ``PAIRED``."""
+    tokens = F.slice("tokens", F.col("rare") + 1, F.size("tokens"))
+    left = F.col("size") - F.col("need") - F.col("skipped") - F.col("rare")
+    before = F.col("skipped") + F.col("rare")
+
+    def key(first: Column, *more: Column, place: Column) -> Column:
+        # What follows the first token as one hash; the number of tokens tells keys of one length from another.
+        return F.struct(first["item"].alias("item"), F.xxhash64(F.lit(len(more)), *[m["item"] for m in more]).alias("next"), place.alias("place"))
+
+    def only(first: Column, *more: Column, place: Column) -> Column:
+        # For sets that may share these tokens and no other.
+        return F.struct(first["item"].alias("item"), F.xxhash64(F.lit(-len(more)), *[m["item"] for m in more], F.lit("only")).alias("next"), place.alias("place"))
+
+    def after(f: Column, at: Column, depth: int) -> Column:
+        """The tokens that may be the next shared one after place ``at``, with their places."""
+        end = F.least(left + depth, F.size(f))
+        rest = F.slice(f, at + 2, F.greatest(end - at - 1, F.lit(0)))
+        return F.transform(rest, lambda t, k: F.struct(t.alias("t"), (at + 1 + k).alias("at")))
+
+    def from_two(f: Column, a: Column, b: Column, b_at: Column) -> Column:
+        place = before + b_at - 1
+        few = a["n"].cast("double") * b["n"] / total <= frequent
+        deeper = F.transform(after(f, b_at, 3), lambda c: key(a, b, c["t"], place=before + c["at"] - 2))
+        end = F.when(F.col("need") <= 2, F.array(only(a, b, place=place)))
+        return F.when(few, F.array(key(a, b, place=place))).otherwise(F.concat(deeper, F.coalesce(end, F.slice(deeper, 1, 0))))
+
+    def from_one(f: Column, a: Column, at: Column) -> Column:
+        pairs = F.flatten(F.transform(after(f, at, 2), lambda b: from_two(f, a, b["t"], b["at"])))
+        end = F.when(F.col("need") <= 1, F.array(only(a, place=before + at)))
+        return F.concat(pairs, F.coalesce(end, F.slice(pairs, 1, 0)))
+
+    def every(f: Column) -> Column:
+        firsts = F.slice(f, 1, F.greatest(left + 1, F.lit(0)))
+        return F.flatten(F.transform(firsts, lambda a, at: from_one(f, a, at)))
+
+    return let(tokens, every)
+
+
 def possible_pairs(pairs: DataFrame, ranked: DataFrame, threshold: float) -> DataFrame:
     """The candidates whose bitmaps allow Jaccard >= ``threshold``: no true pair is lost.
 
