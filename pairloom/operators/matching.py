@@ -22,8 +22,10 @@ from pairloom.functions.text import character_set, lower_character_set, ngrams,
 from pairloom.operators.setjoin import EPSILON, candidate_pairs, possible_pairs, ranked_sets
 from pairloom.session import write_through
 
-#: What a text is taken as a set of; ``characters`` are those of its lower-cased tokens, ``raw_characters`` all.
+#: What a value is taken as a set of; ``characters`` are those of its lower-cased tokens, ``raw_characters`` all, and
+#: ``items`` those of an array.
 ELEMENTS = {
+    "items": F.array_distinct,
     "tokens": token_set,
     "characters": lower_character_set,
     "raw_characters": character_set,

@@ -746,6 +746,22 @@ def sweep_columns(spark, folder):
     return _shown(sweeps.column_sweep(*document_sources(spark, folder), **LANGUAGE_VENUE))
 
 
+@query("sweep_column_scores")
+def sweep_column_scores(spark, folder):
+    loose = write_through(baseline_pairs(spark, folder, 0.7))
+    baselines = {0.7: loose, 0.85: loose.filter("sim >= 0.85")}
+    return _shown(sweeps.column_scores(*document_sources(spark, folder), baselines, **LANGUAGE_VENUE))
+
+
+@query("sweep_scored")
+def sweep_scored(spark, folder):
+    """N-gram matching and sorted blocks of parts, at both thresholds."""
+    left, right = part_sources(spark, folder)
+    loose = write_through(matching.similar_records(left, right, TEXTS, 0.7, single=SINGLE, order=BASELINE_ORDER))
+    baselines = {0.7: loose, 0.85: loose.filter("sim >= 0.85")}
+    return _shown(sweeps.scored_sweep(left, right, baselines, venue_rules=(("Brand#1", "one"),), venue_default="other"))
+
+
 @query("sweep_augment")
 def sweep_augment(spark, folder):
     return _shown(sweeps.augmentation_sweep(*document_sources(spark, folder)))

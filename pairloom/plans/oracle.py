@@ -796,6 +796,116 @@ def _column_sweep() -> str:
 ORACLE["sweep_columns"] = _column_sweep()
 
 
+def _column_scores() -> str:
+    """Every column set on every dataset, each baseline pair looked up under each key."""
+    variants = [("'full'", ()), (_YEAR_VENUE, ())]
+    variants += [(f"'{'_'.join(names)}'", names) for names in PAIRED]
+    parts = " UNION ALL ".join(
+        f"""SELECT {dataset} AS dataset, rep1, rep2, n1, n2, {initials(augment('author_names', names))} AS author_names,
+        {initials(augment('paper_title', names))} AS paper_title, year::varchar AS year,
+        {language(augment('publication_venue', names))} AS publication_venue FROM classes"""
+        for dataset, names in variants
+    )
+    sets = [c for size in range(1, 5) for c in combinations(ORDER, size)]
+    keyed = " UNION ALL ".join(
+        f"""SELECT dataset, rep1, rep2, n1, n2, '{"+".join(c)}' AS columns, md5({" || ".join(c)}) AS key FROM parts_of
+        WHERE dataset IS NOT NULL"""
+        for c in sets
+    )
+    return f"""WITH {_SETS}, {baseline('p70', 0.7)}, {baseline('p85', 0.85)},
+      parts_of AS MATERIALIZED ({parts}), keyed AS MATERIALIZED ({keyed}),
+      pairs AS (SELECT 0.7::double AS threshold, rep1, rep2, n1 * n2 AS n FROM p70 UNION ALL
+        SELECT 0.85::double, rep1, rep2, n1 * n2 FROM p85),
+      sizes AS (SELECT dataset, columns, key, sum(n1) AS n1, sum(n2) AS n2 FROM keyed WHERE key IS NOT NULL GROUP BY ALL),
+      found AS (SELECT dataset, columns, sum(n1 * n2) AS found FROM sizes GROUP BY ALL),
+      looked AS (SELECT threshold, x.dataset, x.columns, sum(n) AS total,
+          coalesce(sum(n) FILTER (x.key = y.key), 0) AS tp
+        FROM pairs JOIN keyed x ON x.rep1 = pairs.rep1 JOIN keyed y ON y.rep2 = pairs.rep2
+        WHERE x.dataset = y.dataset AND x.columns = y.columns GROUP BY ALL),
+      c AS (SELECT dataset, columns, t.threshold, coalesce(tp, 0)::bigint AS tp,
+          (found - coalesce(tp, 0))::bigint AS fp, (coalesce(total, 0) - coalesce(tp, 0))::bigint AS fn
+        FROM found CROSS JOIN (VALUES (0.7::double), (0.85::double)) AS t(threshold)
+        LEFT JOIN looked USING (dataset, columns, threshold))
+      SELECT dataset, columns, threshold, tp, fp, fn, {_METRICS} FROM c"""
+
+
+ORACLE["sweep_column_scores"] = _column_scores()
+
+
+def _scored_sweep() -> str:
+    """Similarities of distinct values first, then all pairs of value combinations under every configuration."""
+    brand = lambda x: f"CASE WHEN contains({x}, 'Brand#1') THEN 'one' ELSE 'other' END"
+    gram_set = lambda x, n: f"list_distinct({grams(x, n)})"
+    outer = f"{year_label('year')} || '-' || {brand('publication_venue')}"
+    venue = brand("publication_venue")
+    rows, sims = [], []
+    for name, columns in COLUMN_SETS.items():
+        key = initials_key(columns, brand)
+        texts = [c for c in columns if c in TEXTS]
+        year = "year::varchar" if "year" in columns else "''"
+        place = venue if "publication_venue" in columns else "''"
+        two = texts[1] if len(texts) > 1 else "''"
+        size = len(columns)
+        row = "SELECT '{}' AS config, side, \"index\", {} AS outer_key, '{}' AS kind, {} AS x, {} AS y, {} AS year, {} AS venue, {} AS size, {} AS texts FROM parts"
+        for n in (2, 3):
+            rows.append(row.format(f"initial_n{n}/{name}", "''", f"g{n}", key, "''", "''", "''", 1, 1))
+            rows.append(row.format(f"n{n}/{name}", "''", f"g{n}", texts[0], two, year, place, size, len(texts)))
+            if name in ("a", "p", "ap"):
+                rows.append(row.format(f"sorted_initial_n{n}/{name}", outer, f"g{n}", key, "''", "''", "''", 1, 1))
+        if name in ("a", "p", "ap"):
+            rows.append(row.format(f"sorted/{name}", outer, "ch", texts[0], two, "''", "''", size, len(texts)))
+    for kind, items in (("g2", lambda x: gram_set(x, 2)), ("g3", lambda x: gram_set(x, 3)), ("ch", chars)):
+        sims.append(f"SELECT kind, v, {items('v')} AS items FROM vals WHERE kind = '{kind}'")
+    return f"""WITH {PARTS}, r AS MATERIALIZED ({" UNION ALL ".join(rows)}),
+      vals AS (SELECT DISTINCT kind, x AS v FROM r UNION SELECT DISTINCT kind, y FROM r WHERE texts > 1),
+      sets AS MATERIALIZED ({" UNION ALL ".join(sims)}),
+      sims AS MATERIALIZED (SELECT a.kind, a.v AS v1, b.v AS v2, {jaccard('a.items', 'b.items')} AS s
+        FROM sets a JOIN sets b USING (kind)),
+      c AS MATERIALIZED (SELECT config, kind, side, outer_key, x, y, year, venue, size, texts, count(*) AS n
+        FROM r WHERE outer_key IS NOT NULL GROUP BY ALL),
+      scored AS (SELECT a.config, a.n * b.n AS n, (sx.s + CASE WHEN a.texts > 1 THEN sy.s ELSE 0 END
+          + CASE WHEN a.venue <> '' AND a.venue = b.venue THEN 1.0 ELSE 0 END
+          + CASE WHEN a.year <> '' AND a.year = b.year THEN 1.0 ELSE 0 END) / a.size AS sim
+        FROM c a JOIN c b ON a.side = 'a' AND b.side = 'b' AND a.config = b.config AND a.outer_key = b.outer_key
+        JOIN sims sx ON sx.kind = a.kind AND sx.v1 = a.x AND sx.v2 = b.x
+        LEFT JOIN sims sy ON sy.kind = a.kind AND sy.v1 = a.y AND sy.v2 = b.y AND a.texts > 1),
+      t AS (SELECT * FROM (VALUES (0.7::double), (0.85::double)) AS v(threshold)),
+      found AS (SELECT config, threshold, sum(n) AS found FROM scored JOIN t ON sim >= threshold GROUP BY ALL),
+      whole AS MATERIALIZED (SELECT side, author_names, paper_title, year, publication_venue, count(*) AS n FROM parts GROUP BY ALL),
+      word_sets AS (SELECT DISTINCT v, {tokens('v')} AS items
+        FROM (SELECT author_names AS v FROM parts UNION SELECT paper_title FROM parts)),
+      word_sims AS MATERIALIZED (SELECT a.v AS v1, b.v AS v2, {jaccard('a.items', 'b.items')} AS s FROM word_sets a, word_sets b),
+      base AS MATERIALIZED (SELECT a.author_names AS a1, a.paper_title AS p1, a.year AS y1, a.publication_venue AS v1,
+          b.author_names AS a2, b.paper_title AS p2, b.year AS y2, b.publication_venue AS v2, a.n * b.n AS n,
+          (sa.s + sp.s + CASE WHEN a.year = b.year THEN 1.0 ELSE 0 END
+            + CASE WHEN a.publication_venue = b.publication_venue THEN 1.0 ELSE 0 END) / 4 AS sim
+        FROM whole a JOIN whole b ON a.side = 'a' AND b.side = 'b'
+        JOIN word_sims sa ON sa.v1 = a.author_names AND sa.v2 = b.author_names
+        JOIN word_sims sp ON sp.v1 = a.paper_title AND sp.v2 = b.paper_title WHERE sim >= 0.7),
+      totals AS (SELECT threshold, sum(n) AS total FROM base JOIN t ON sim >= threshold GROUP BY ALL),
+      ids AS MATERIALIZED (SELECT DISTINCT ON (config, w) r.config, w, kind, outer_key, x, y, r.year, r.venue, size, texts
+        FROM r JOIN (SELECT "index", md5(author_names || chr(31) || paper_title || chr(31) || year || chr(31) || publication_venue) AS w
+          FROM parts) p USING ("index")),
+      hits AS (SELECT a.config, threshold, sum(n) AS tp FROM base
+        JOIN t ON base.sim >= threshold
+        JOIN ids a ON a.w = md5(a1 || chr(31) || p1 || chr(31) || y1 || chr(31) || v1)
+        JOIN ids b ON b.w = md5(a2 || chr(31) || p2 || chr(31) || y2 || chr(31) || v2) AND b.config = a.config
+          AND a.outer_key = b.outer_key
+        JOIN sims sx ON sx.kind = a.kind AND sx.v1 = a.x AND sx.v2 = b.x
+        LEFT JOIN sims sy ON sy.kind = a.kind AND sy.v1 = a.y AND sy.v2 = b.y AND a.texts > 1
+        WHERE (sx.s + CASE WHEN a.texts > 1 THEN sy.s ELSE 0 END
+          + CASE WHEN a.venue <> '' AND a.venue = b.venue THEN 1.0 ELSE 0 END
+          + CASE WHEN a.year <> '' AND a.year = b.year THEN 1.0 ELSE 0 END) / a.size >= threshold GROUP BY ALL),
+      counts AS (SELECT config, threshold, coalesce(tp, 0)::bigint AS tp, (coalesce(found, 0) - coalesce(tp, 0))::bigint AS fp,
+          (coalesce(total, 0) - coalesce(tp, 0))::bigint AS fn
+        FROM (SELECT DISTINCT config FROM r) CROSS JOIN t LEFT JOIN found USING (config, threshold)
+        LEFT JOIN hits USING (config, threshold) LEFT JOIN totals USING (threshold))
+      SELECT config, threshold, tp, fp, fn, {_METRICS} FROM counts"""
+
+
+ORACLE["sweep_scored"] = _scored_sweep()
+
+
 def _augment_sweep() -> str:
     names = ("identity", "lower", "title", "alphanumerical", "reverse")
     chosen = [c for size in range(1, 5) for c in combinations(names, size)]
