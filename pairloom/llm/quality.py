@@ -1,21 +1,23 @@
 """Quality rules whose cutoffs come with a guarantee.
 
-Every rule rejects a document when a metric of its text exceeds a cutoff. Which cutoff is decided on labelled
-documents (quality 1 is good), per stratum of text length: with n good holdouts of which k would be rejected, a
-cutoff is accepted when an exact binomial test at level ``confidence`` shows that less than the rule's part of
-``false_rejection`` of all good documents is lost, P(X <= k | n, limit) <= level. Tests are corrected: the level is divided
-by the number of (stratum, rule) sequences (Bonferroni), and inside a sequence cutoffs are tested from the
-mildest to the strictest in their fixed order until the first one fails (fixed-sequence testing). So with probability 1 -
-``1 - confidence`` no stratum loses more than ``false_rejection`` of its good documents to the learnt rules. Where the
-holdouts cannot show that, a rule rejects nothing there.
+Every rule rejects a document when a metric of its text exceeds a cutoff. Cutoffs are decided together, on labelled
+documents (quality 1 is good), per stratum of text length. A fixed sequence of steps goes from the mildest cutoffs of all
+rules to the strictest ones, each step tightening them jointly. With n good holdouts of which k would be rejected by
+any rule at a step, the step is accepted when an exact binomial test shows that less than ``false_rejection`` of all good
+documents is lost, P(X <= k | n, false_rejection) <= level. Tests are corrected: the level 1 - ``confidence`` is divided by the number of strata
+(Bonferroni), and inside a stratum steps are tested in their order until the first one fails (fixed-sequence
+testing). So with probability ``confidence`` no stratum loses more than ``false_rejection`` of its good documents to the
+learnt rules. A stratum needs 228 good holdouts without a loss for its first step; where the holdouts cannot show
+it, the learnt rules reject nothing there.
 
 Only DataFrame functions are used. Texts are measured where they lie; what is shuffled is a row of numbers per
-labelled document. Holdouts are counted by place in the grid, so five strata times the rules times the grid is
-all that is gathered, whatever the input; the chosen cutoffs, at most one per (stratum, rule), are literals of the plan.
+labelled document. Holdouts are counted by the step that rejects them, so five strata times the steps is
+all that is gathered, whatever the input; the chosen cutoffs, one per (stratum, rule), are literals of the plan.
 
 Defined cases: a null text has no words (and so fails the base rules); an empty table gives no rows; repeated rows
 are judged alike; labels that are null, or of no document, do not count, and of several labels for one doc_id
-the lowest does. Windows of three words are compared by a 64-bit hash.
+the lowest does; texts of any length are measured whole in their row; other columns are not read by ``judge`` and
+kept as they are by ``keep_good``, whatever their names. Windows of three words are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ FALSE_REJECTION = 0.02
 CONFIDENCE = 0.95
 #: Cutoffs end where a document that is not like the labelled ones could still be sound.
 GRID = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15)
+#: Steps from the mildest to the strictest cutoffs, as many as the longest grid has.
+STEPS = 16
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,10 @@ class Rule:
     metric: Column
     cutoffs: tuple[float, ...] = GRID
 
+    def at(self, step: int) -> float:
+        """The cutoff of a step: grids of different lengths begin and end together."""
+        return self.cutoffs[step * (len(self.cutoffs) - 1) // (STEPS - 1)]
+
 
 def _ratio(over: str, under: str) -> Column:
     return F.coalesce(F.try_divide(F.col(over).cast("double"), F.col(under)), F.lit(0.0))
@@ -139,45 +147,40 @@ def lower_tail(k: Column, n: Column, p: float) -> Column:
 def cutoffs(
     measured: DataFrame, labels: DataFrame, false_rejection: float = FALSE_REJECTION, confidence: float = CONFIDENCE
 ) -> DataFrame:
-    """(stratum, rule, cutoff, n, k): the strictest cutoff accepted for each stratum and rule.
+    """(stratum, rule, cutoff, n, k): the cutoffs of the strictest step accepted in each stratum.
 
     ``measured`` needs doc_id. Good documents that fail the base rules are no holdouts, as those decide alone.
     """
-    all_rules = rules()
+    all_rules, steps = rules(), STEPS
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
     holdouts = measured.filter("NOT base_failed").join(good, "doc_id", "left_semi")
-    # The number of cutoffs that a holdout exceeds: the strictest ones, as grids fall.
-    above = lambda r: reduce(lambda a, b: a + b, [(r.metric > c).cast("int") for c in r.cutoffs])
-    placed = holdouts.select(
-        "stratum", F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), above(r).alias("above")) for r in all_rules]))
-    ).select("stratum", "col.*")
-    histogram = placed.groupBy("stratum", "rule", "above").agg(F.count(F.lit(1)).alias("rows"))
-    grid = F.array(
-        *[
-            F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("place"), F.lit(float(c)).alias("cutoff"))
-            for r in all_rules
-            for i, c in enumerate(r.cutoffs)
-        ]
-    )
-    # Cutoff number i rejects a holdout that exceeds at least (grid length - i) of them.
-    lengths = F.create_map(*[F.lit(x) for r in all_rules for x in (r.name, len(r.cutoffs))])
-    cells = measured.sparkSession.range(len(STRATA)).select(F.col("id").cast("int").alias("stratum"), F.inline(grid))
+
+    def rejected_at(rule: Rule) -> Column:
+        """The first step whose cutoff the metric exceeds; ``steps`` if none does."""
+        found = F.lit(steps)
+        for step in reversed(range(steps)):
+            found = F.when(rule.metric > rule.at(step), F.lit(step)).otherwise(found)
+        return found
+
+    placed = holdouts.select("stratum", F.least(*[rejected_at(r) for r in all_rules]).alias("first"))
+    histogram = placed.groupBy("stratum", "first").agg(F.count(F.lit(1)).alias("rows"))
     tested = (
-        cells.join(histogram, ["stratum", "rule"], "left")
-        .groupBy("stratum", "rule", "place", "cutoff")
-        .agg(
-            F.coalesce(F.sum("rows"), F.lit(0)).alias("n"),
-            F.coalesce(F.sum(F.when(F.col("above") >= lengths[F.col("rule")] - F.col("place"), F.col("rows"))), F.lit(0)).alias("k"),
-        )
+        histogram.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+        .groupBy("stratum", "step")
+        .agg(F.sum("rows").alias("n"), F.coalesce(F.sum(F.when(F.col("first") <= F.col("step"), F.col("rows"))), F.lit(0)).alias("k"))
     )
-    level = (1 - confidence) / (len(STRATA) * len(all_rules))
-    limit = false_rejection / len(all_rules)
-    tested = tested.withColumn("fails", (lower_tail(F.col("k"), F.col("n"), limit) > level).cast("int"))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("place")
+    level = (1 - confidence) / len(STRATA)
+    tested = tested.withColumn("fails", (lower_tail(F.col("k"), F.col("n"), false_rejection) > level).cast("int"))
+    so_far = Window.partitionBy("stratum").orderBy("step")
     accepted = tested.withColumn("failed", F.sum("fails").over(so_far)).filter("failed = 0")
-    return accepted.groupBy("stratum", "rule").agg(
-        F.min("cutoff").alias("cutoff"), F.max_by("n", "place").alias("n"), F.max_by("k", "place").alias("k")
+    last = accepted.groupBy("stratum").agg(F.max(F.struct("step", "n", "k")).alias("last")).select("stratum", "last.*")
+    chosen = F.array(
+        *[
+            F.struct(F.lit(r.name).alias("rule"), F.array(*[F.lit(r.at(step)) for step in range(steps)])[F.col("step")].alias("cutoff"))
+            for r in all_rules
+        ]
     )
+    return last.select("stratum", F.inline(chosen), "n", "k").select("stratum", "rule", "cutoff", "n", "k")
 
 
 def verdict(chosen: DataFrame) -> Column:

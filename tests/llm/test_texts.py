@@ -112,17 +112,34 @@ def test_cutoffs_against_brute_force(spark):
     columns = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, base_failed boolean, stratum int, quality int"
     measured = spark.createDataFrame(rows, columns)
     chosen = {(r[0], r[1]): r[2:] for r in quality.cutoffs(measured.drop("quality"), measured.select("doc_id", "quality")).collect()}
-    level, limit = 0.05 / (5 * len(quality.rules())), 0.02 / len(quality.rules())
+    grids = {r.name: [r.cutoffs[step * (len(r.cutoffs) - 1) // 15] for step in range(16)] for r in quality.rules()}
+    accepted = 0
     for stratum in range(len(quality.STRATA)):
-        shares = [r[3] / r[1] for r in rows if r[8] == stratum and r[9]]
+        held = [r for r in rows if r[8] == stratum and r[9]]
         best = None
-        for cutoff in quality.rules()[0].cutoffs:
-            n, k = len(shares), sum(s > cutoff for s in shares)
-            if sum(comb(n, i) * limit**i * (1 - limit) ** (n - i) for i in range(k + 1)) > level:
+        for step in range(16):
+            # Only symbols and the mean length of words (5) can exceed a cutoff here.
+            n, k = len(held), sum(r[3] / r[1] > grids["symbols"][step] or 5 > grids["word_length"][step] for r in held)
+            if sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1)) > 0.05 / 5:
                 break
-            best = cutoff, n, k
-        assert chosen.get((stratum, "symbols")) == best
-    assert any(name == "symbols" for _, name in chosen)
+            best = step, n, k
+        found = {name: chosen[stratum, name] for s, name in chosen if s == stratum}
+        assert found == ({name: (grid[best[0]], *best[1:]) for name, grid in grids.items()} if best else {})
+        accepted += best is not None
+    assert accepted >= 2
+
+
+def test_cutoffs_decide_on_the_given_documents(spark):
+    """sf0.1 has enough good documents in some strata; the cutoffs found there reject documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet") for name in ("documents", "labels"))
+    measured = quality.write_through(quality.measure(docs, "doc_id"))
+    chosen = quality.cutoffs(measured, labels)
+    assert len({r["stratum"] for r in chosen.collect()}) >= 2
+    judged = measured.withColumn("kept", quality.verdict(chosen))
+    good = labels.filter("quality = 1").select("doc_id")
+    lost = judged.filter("NOT base_failed AND NOT kept")
+    assert lost.count() > 0
+    assert lost.join(good, "doc_id", "left_semi").count() <= 0.02 * judged.filter("NOT base_failed").join(good, "doc_id", "left_semi").count()
 
 
 # ------------------------------------------------------------------------------------ op5
