@@ -30,7 +30,8 @@ candidates and loses none. Similarities use the 64-bit hashes.
 
 Defined cases: null, empty and blank texts have empty sets and link with nothing; a text with fewer than ``n`` words
 has one token, the whole sequence; repeated rows are linked to each other; a null doc_id never names a component (a
-group without any id has none); an empty table gives no rows; other columns are not read.
+group without any id has none); texts of any length are one set in one row; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -57,6 +58,8 @@ CHUNK_CHARS, STEP_CHARS, SLICE_TOKENS = 4_000_000, 500_000, 1_000_000
 MIN_HASHES = 3
 #: 64-bit words of a set's bitmap.
 WORDS = 8
+#: Parts that the sets of one min-hash are dealt to.
+SALTS = 64
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -194,14 +197,14 @@ def _describe(sets: list[np.ndarray], answers: list[tuple[int, bytes]], bits: in
     return rows
 
 
-_SETS = "doc_id long, n int, digest string, tokens binary, keys array<long>, mins array<long>, bits array<long>"
+_SETS = "doc_id long, text_id string, n int, digest string, tokens binary, keys array<long>, mins array<long>, bits array<long>"
 _LONGS = pa.list_(pa.int64())
-_SET_KINDS = [pa.int64(), pa.int32(), pa.string(), pa.binary(), _LONGS, _LONGS, _LONGS]
+_SET_KINDS = [pa.int64(), pa.string(), pa.int32(), pa.string(), pa.binary(), _LONGS, _LONGS, _LONGS]
 
 
 def described(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: its set's size and digest and, where a partner is possible, what the join needs."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_id", _text_id())
     count, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     chunks, total = 1 + chars // CHUNK_CHARS, max(1024, chars // 4)
     slices = 1 + total // SLICE_TOKENS
@@ -233,7 +236,8 @@ def described(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> Data
             return pa.table([pa.array([], t) for t in _SET_KINDS], [c.split()[0] for c in _SETS.split(", ")])
         sets = shingle_sets(group["text"].to_pylist(), n)
         got = list(zip(answer["slice"].to_pylist(), answer["classes"].to_pylist()))
-        rows = [(d, *r) for d, r in zip(group["doc_id"].to_pylist(), _describe(sets, got, bits, rare, percent))]
+        ids = zip(group["doc_id"].to_pylist(), group["text_id"].to_pylist())
+        rows = [(*d, *r) for d, r in zip(ids, _describe(sets, got, bits, rare, percent))]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _SET_KINDS)], [c.split()[0] for c in _SETS.split(", ")])
 
     return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(describe, _SETS)
@@ -283,11 +287,14 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     held = (F.octet_length("tokens") / 8).cast("int").alias("held")
     sets = sets.select("digest", "n", held, "keys", "mins", "bits", "tokens")
     grouped = sets.select("digest", (F.col("n") - F.col("held")).alias("unshared"), F.posexplode("mins").alias("which", "mark"))
-    leaders = grouped.groupBy("which", "mark").agg(
-        F.min(F.struct("unshared", "digest")).alias("leader"), F.count(F.lit(1)).alias("members")
-    )
+    # A large group is dealt to parts, first to find its leader and then to meet it.
+    grouped = grouped.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int"))
+    least = F.min(F.struct("unshared", "digest")).alias("leader")
+    parts = grouped.groupBy("which", "mark", "salt").agg(least, F.count(F.lit(1)).alias("members"))
+    leaders = parts.groupBy("which", "mark").agg(F.min("leader").alias("leader"), F.sum("members").alias("members"))
     leaders = leaders.filter("members > 1").select("which", "mark", F.col("leader.digest").alias("v"))
-    first = grouped.join(leaders, ["which", "mark"]).filter("digest <> v").select(F.col("digest").alias("u"), "v").distinct()
+    met = parts.select("which", "mark", "salt").join(leaders, ["which", "mark"])
+    first = grouped.join(met, ["which", "mark", "salt"]).filter("digest <> v").select(F.col("digest").alias("u"), "v").distinct()
     alone = sets.withColumn("label", F.col("digest"))
     first = first.join(_side(alone, "u"), "u").join(_side(alone, "v"), "v").filter(_possible(percent)).select("u", "v")
     edges = write_through(verified(first, sets, percent))
@@ -330,26 +337,42 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return edges.unionAll(verified(second, sets, percent))
 
 
-def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document: the smallest doc_id that links reach."""
+def _text_id() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def _clustered(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, text_id, n, cluster, component_id) of every row; ``cluster`` is null for a text without words."""
     rows = write_through(described(docs, n, percent))
     sets = write_through(rows.filter("tokens IS NOT NULL").select("digest", "n", "tokens", "keys", "mins", "bits").dropDuplicates(["digest"]))
     named = connected_components(links(sets, percent)).select(F.col("id").alias("digest"), "cluster_id")
     least = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"))
     least = least.join(named, "digest", "left").withColumn("cluster", F.coalesce("cluster_id", "digest"))
     of_cluster = least.groupBy("cluster").agg(F.min("least").alias("component_id"))
-    classes = least.join(of_cluster, "cluster").select("digest", "component_id")
+    classes = least.join(of_cluster, "cluster").select("digest", "cluster", "component_id")
     alone = F.when(F.col("digest").isNull(), F.col("doc_id"))
-    return rows.select("doc_id", "n", "digest").join(classes, "digest", "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", alone).alias("component_id")
+    return rows.select("doc_id", "text_id", "n", "digest").join(classes, "digest", "left").select(
+        "doc_id", "text_id", "n", "cluster", F.coalesce("component_id", alone).alias("component_id")
     )
 
 
+def components(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document: the smallest doc_id that links reach."""
+    return _clustered(docs, n, percent).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 def keep_one(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of every component, the one that names it, with all columns of ``docs``.
 
-    Of rows that share that doc_id one stays. Rows without a doc_id cannot be told apart, so they stay.
+    Where texts of one component share that doc_id, the one of least digest stays, and one row of it; another text under
+    the same doc_id is judged by its own component. Texts without words link with nothing, so all of them stay, and
+    so do rows without a doc_id, which cannot be told apart.
     """
-    kept = components(docs, n, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    known = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).unionAll(docs.filter("doc_id IS NULL"))
+    found = _clustered(docs, n, percent).filter("cluster IS NOT NULL AND doc_id = component_id")
+    kept = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "text_id")).alias("kept")).select("kept.*").distinct()
+    # Names that no column of ``docs`` has.
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long"), _text_id().alias("text_id"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("has_words"))
+    known = marked.filter("doc_id IS NOT NULL AND has_words").join(kept, ["doc_id", "text_id"], "left_semi")
+    known = known.groupBy("doc_id", "text_id").agg(F.first("row").alias("row"))
+    others = marked.filter("doc_id IS NULL OR NOT has_words")
+    return known.select("row.*").unionAll(others.select("row.*"))

@@ -408,10 +408,21 @@ def test_pipeline_on_awkward_and_empty_tables(spark):
 def test_one_document_of_each_group_stays(spark):
     docs = tables.documents(spark)
     kept = ngram_join.keep_one(docs).collect()
-    ids = [r["doc_id"] for r in kept]
-    assert len([d for d in ids if d is not None]) == len({d for d in ids if d is not None})
-    assert 6 not in ids and 7 not in ids or 5 in ids
-    assert ids.count(None) == sum(r[0] is None for r in tables.awkward())
+    texts = [(r["doc_id"], r["text"]) for r in kept]
+    worded = [t for t in texts if t[0] is not None and tables.words(t[1])]
+    assert len(worded) == len(set(worded))
+    ids = [d for d, _ in worded]
+    # Another text under the id of a group stays beside it.
+    assert 6 not in ids and 7 not in ids and ids.count(5) == 2 and (5, "another text") in worded
+    assert [d for d, _ in texts].count(None) == sum(r[0] is None for r in tables.awkward())
+    assert {d for d, t, *_ in tables.awkward() if d is not None and not tables.words(t)} <= {d for d, _ in texts}
+
+
+def test_a_copy_under_the_id_of_another_group_takes_nothing_along(spark):
+    one, two = (" ".join(f"{letter}{i}" for i in range(60)) for letter in "ab")
+    rows = [(1, one), (2, two), (2, one), (3, two), (3, two)]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert tables.bag(kept) == tables.bag([(1, one), (2, two)])
 
 
 def test_pipeline_joins_near_copies_of_five_words(spark):
