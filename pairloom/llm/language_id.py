@@ -4,7 +4,7 @@ A text is represented by the average embedding of its subwords: all windows of t
 run of letters, with its two borders, in lower case, hashed to a fixed number of rows. A linear softmax on the average
 gives the languages. Embeddings and softmax are trained together by stochastic gradient descent in numpy, on the driver,
 with the labelled texts of a sample: at most ``SAMPLE`` of them, and no more than fit ``SAMPLE_CHARS`` characters, whole
-texts each, dealt evenly to the ``LANGUAGES`` most frequent languages, each cut into snippets that together are the whole text. A fifth of the sampled documents is kept apart to calibrate: a
+texts each, dealt evenly to all languages, each cut into snippets that together are the whole text. A fifth of the sampled documents is kept apart to calibrate: a
 temperature that makes the probabilities honest, and a least probability that all but ``REJECTED`` of them reach
 (a conformal bound on the share of documents rejected). A prediction below that is marked as rejected.
 
@@ -12,7 +12,7 @@ Scale: prediction is one pass without a shuffle over whole texts; the model has
 looked up once. Choosing the sample reads ids and languages only, then the sampled texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; where no row may be learnt
-from, every text is ``und`` with score 0, but only those without a letter are rejected; ties go to the first language in alphabetical order; repeated rows are predicted alike; a null
+from (an empty table gives no rows), every text is ``und`` with score 0, but only those without a letter are rejected; ties go to the first language in alphabetical order; repeated rows are predicted alike; a null
 doc_id is neither learnt from nor held out; other columns are not read.
 """
 
@@ -33,8 +33,6 @@ from pairloom.session import write_through
 SAMPLE = 1500
 #: Characters of the sample, which the driver holds: it ends before the first document beyond them, but has one at least.
 SAMPLE_CHARS = 100_000_000
-#: Languages that are learnt at most, the most frequent ones.
-LANGUAGES = 500
 #: Rows and numbers of the embedding.
 ROWS, SIZE = 1 << 16, 12  # a row number fits two bytes
 #: Longest snippet in words, training passes and examples of a step.
@@ -227,7 +225,9 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> Model | None:
     that every language has about the same part of it.
     """
     labelled = docs.filter(learn & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    # With more languages than the sample has rows, the most frequent ones have a row each.
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    sizes = {r["lang"]: r["n"] for r in sizes.collect()}
     if not sizes:
         return None
     size = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("lang")]
