@@ -19,7 +19,7 @@ from pairloom.functions.text import (
     strip_punctuation,
     token_set,
 )
-from pairloom.operators import blocking, clean, clusters, editjoin, evaluate, matching, profile
+from pairloom.operators import blocking, clean, clusters, editjoin, evaluate, matching, profile, stored
 from pairloom.plans import sweeps
 from pairloom.plans.tables import (
     BRANDS,
@@ -30,6 +30,7 @@ from pairloom.plans.tables import (
     page_records,
     part_records,
     part_sources,
+    read,
     read_text,
 )
 from pairloom.schema import RECORD_COLUMNS
@@ -372,6 +373,28 @@ def block_year_selected(spark, folder):
     return blocking.members(blocked)
 
 
+@query("block_year_bins")
+def block_year_bins(spark, folder):
+    """Parts in overlapping year bins that come from a table: one around the size of every supplier's nation."""
+    suppliers = read(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    low = F.col("s_nationkey") + 1990
+    bins = suppliers.select(
+        low.alias("low"), (low + 1 + F.col("s_suppkey") % 5).alias("high"), F.concat(F.lit("s"), F.col("s_suppkey")).alias("label")
+    )
+    found = stored.in_bins(part_records(spark, folder).select("index", "year"), "year", bins)
+    return found.groupBy("label").agg(F.count(F.lit(1)).alias("records"), F.min("year").alias("first"), F.max("year").alias("last"))
+
+
+@query("block_price_bins")
+def block_price_bins(spark, folder):
+    """Customers by balance in one bin for each part, from its price up to half more than a unit above."""
+    parts = read(spark, folder, "part").select(
+        F.col("p_retailprice").alias("low"), (F.col("p_retailprice") + 0.5 + F.col("p_size")).alias("high"), F.col("p_partkey").alias("label")
+    )
+    customers = read(spark, folder, "customer").select("c_custkey", "c_acctbal")
+    return stored.in_bins(customers, "c_acctbal", parts).groupBy("label").agg(F.count(F.lit(1)).alias("customers"), F.sum("c_custkey").alias("keys"))
+
+
 @query("block_year_venue")
 def block_year_venue(spark, folder):
     return blocking.year_and_venue(_documents(spark, folder)).select("index", "blocking_key")
@@ -447,6 +470,19 @@ def match_two_level(spark, folder):
     return matching.match_equal(left, right, ["outer_key", "value"])
 
 
+def _stored_initials(spark: SparkSession, folder: str) -> list[DataFrame]:
+    keyed = (blocking.initials_hash(df, TITLE).select("value", "index") for df in document_sources(spark, folder))
+    return [stored.store(df, ["value"]) for df in keyed]
+
+
+@query("match_stored_blocks")
+def match_stored_blocks(spark, folder):
+    """Records of stored blocks that occur on both sides, each with the size of its match."""
+    tables = _stored_initials(spark, folder)
+    sizes = stored.matched_stored(*tables, ["value"])
+    return stored.match_stored(*tables, ["value"]).join(sizes, "value").select("value", "side", "index", "n1", "n2")
+
+
 @query("match_counts")
 def match_counts(spark, folder):
     """Records per side of every matched block of part names: a few very large blocks."""

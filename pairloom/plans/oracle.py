@@ -961,3 +961,15 @@ ORACLE["match_title_ratio_85"] = _ratio_pairs(f'{PARTS}, texts AS (SELECT side,
 ORACLE["match_url_ratio_85"] = _ratio_pairs(
     """texts AS (SELECT CASE WHEN regexp_matches(url, '^https?://(m|blog)[.]') THEN 'a' ELSE 'b' END AS side,
       url AS text, page_id::varchar AS "index" FROM pages)""", 0.85)
+
+# -------------------------------------------------------------- bins from a table, stored blocks
+
+ORACLE["block_year_bins"] = f"""WITH {PARTS}, bins AS (SELECT s_nationkey + 1990 AS low,
+    s_nationkey + 1991 + s_suppkey % 5 AS high, 's' || s_suppkey AS label FROM supplier)
+  SELECT label, count(*) AS records, min(year) AS first, max(year) AS last FROM parts JOIN bins
+  ON year >= low AND year < high GROUP BY label"""
+ORACLE["block_price_bins"] = """SELECT p_partkey AS label, count(*) AS customers, sum(c_custkey)::bigint AS keys
+  FROM customer JOIN part ON c_acctbal >= p_retailprice AND c_acctbal < p_retailprice + 0.5 + p_size GROUP BY 1"""
+ORACLE["match_stored_blocks"] = f"""WITH {DOCS}, k AS (SELECT md5({initials('paper_title')}) AS value, side, "index" FROM docs),
+  sizes AS (SELECT value, count(*) FILTER (side = 'a') AS n1, count(*) FILTER (side = 'b') AS n2 FROM k GROUP BY value)
+  SELECT DISTINCT value, side, "index", n1, n2 FROM k JOIN sizes USING (value) WHERE n1 > 0 AND n2 > 0"""
