@@ -23,7 +23,7 @@ EPSILON = 1e-9
 #: Above this threshold frequent tokens are taken in pairs of neighbours, at or below it in combinations.
 PAIRED = 0.6
 #: Combinations of frequent tokens that are keys, for each token of all sets, at most.
-COMBINED = 4
+COMBINED = 0.25
 #: 64-bit words of the bitmap of a set.
 WORDS = 16
 
@@ -38,11 +38,10 @@ def ranked_sets(left: DataFrame, right: DataFrame, items: str, carry: Sequence[s
     find candidates, and whoever verifies these looks at the sets themselves.
     """
     carry = list(carry)
-    hashes = F.array_distinct(F.transform(items, lambda t: F.xxhash64(t)))
-    columns = ["id", *carry, F.size(items).alias("size"), F.explode(hashes).alias("item")]
+    columns = ["id", *carry, F.size(items).alias("size"), F.explode(items).alias("item")]
     words = left.select(F.lit(1).alias("side"), *columns).unionAll(
         right.select(F.lit(2).alias("side"), *columns)
-    )
+    ).withColumn("item", F.xxhash64("item"))
     counts = words.groupBy("item").agg(
         F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2")
     )

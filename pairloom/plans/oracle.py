@@ -840,15 +840,15 @@ def _scored_sweep() -> str:
     venue = brand("publication_venue")
     rows, sims = [], []
     for name, columns in COLUMN_SETS.items():
-        key = initials_key(columns, brand)
         texts = [c for c in columns if c in TEXTS]
+        key = initials_key(texts)
         year = "year::varchar" if "year" in columns else "''"
         place = venue if "publication_venue" in columns else "''"
         two = texts[1] if len(texts) > 1 else "''"
         size = len(columns)
         row = "SELECT '{}' AS config, side, \"index\", {} AS outer_key, '{}' AS kind, {} AS x, {} AS y, {} AS year, {} AS venue, {} AS size, {} AS texts FROM parts"
         for n in (2, 3):
-            rows.append(row.format(f"initial_n{n}/{name}", "''", f"g{n}", key, "''", "''", "''", 1, 1))
+            rows.append(row.format(f"initial_n{n}/{name}", "''", f"g{n}", key, "''", year, place, size - len(texts) + 1, 1))
             rows.append(row.format(f"n{n}/{name}", "''", f"g{n}", texts[0], two, year, place, size, len(texts)))
             if name in ("a", "p", "ap"):
                 rows.append(row.format(f"sorted_initial_n{n}/{name}", outer, f"g{n}", key, "''", "''", "''", 1, 1))
