@@ -60,19 +60,25 @@ class Recent:
         self.new: dict = {}
         self.old: dict = {}
 
-    def known(self, keys: Iterable) -> dict:
-        """A dict that holds at least the values of ``keys``."""
+    def values(self, keys: list) -> list:
+        """The values of distinct ``keys``, in order."""
         if len(self.new) >= self.limit:
             self.old, self.new = self.new, {}
-        missing = set(keys).difference(self.new)
+        found = [*map(self.new.get, keys)]
+        missing = [k for k, value in enumerate(found) if value is None]
         if self.old and missing:
-            again = missing.intersection(self.old)
-            self.new.update((k, self.old[k]) for k in again)
-            missing -= again
+            for k in missing:
+                value = self.old.get(keys[k])
+                if value is not None:
+                    self.new[keys[k]] = found[k] = value
+            missing = [k for k in missing if found[k] is None]
         if missing:
-            wanted = list(missing)
-            self.new.update(zip(wanted, self.make(wanted)))
-        return self.new
+            wanted = [keys[k] for k in missing]
+            made = self.make(wanted)
+            self.new.update(zip(wanted, made))
+            for k, value in zip(missing, made):
+                found[k] = value
+        return found
 
 
 def crc32(raw: bytes) -> int:

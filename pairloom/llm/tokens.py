@@ -26,11 +26,13 @@ _WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Pieces that the library is given as one text.
 _TOGETHER = 256
 
-_LETTER, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
-_PLAIN = np.zeros(256, bool)
-_PLAIN[0x21:0x7F] = True
+#: What a byte is: a letter, punctuation, a space, a line end, or any visible ASCII character.
+_LETTER, _PUNCTUATION, _SPACE, _LINE, _PLAIN = (np.uint8(1 << k) for k in range(5))
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _PLAIN
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _LETTER
+_KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] |= _PUNCTUATION
+_KIND[[0x20, 0x0A]] = _SPACE, _LINE
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -47,19 +49,20 @@ def encode_by_pieces(
     view = b"".join(parts)
     raw = np.frombuffer(view, np.uint8)
     stops = np.cumsum([0, *map(len, parts)])
-    begins = raw == 32
-    begins[1:] |= _LETTER[raw[:-1]] & _PUNCTUATION[raw[1:]]
-    begins[2:] |= _PLAIN[raw[:-2]] & (raw[1:-1] == 10) & _PLAIN[raw[2:]]
-    begins[stops[:-1][stops[:-1] < len(raw)]] = True
+    kind = _KIND[raw]
+    begins = kind & _SPACE
+    begins[1:] |= kind[:-1] & _LETTER & (kind[1:] >> np.uint8(1))
+    begins[2:] |= (kind[:-2] & _PLAIN) & (kind[1:-1] << np.uint8(1)) & kind[2:]
+    begins[stops[:-1][stops[:-1] < len(raw)]] = _SPACE
     first = np.flatnonzero(begins)
     last = np.append(first[1:], len(raw))[: len(first)]
     made: list[bytes] = [b""] * len(texts)
     if len(first):
         codes, sample = distinct(raw, first, last)
         keys = [view[a:b] for a, b in zip(first[sample].tolist(), last[sample].tolist())]
-        pool = [*map(pieces.known(keys).__getitem__, keys)]
+        pool = pieces.values(keys)
         ids = np.frombuffer(b"".join(pool), "<u4")
-        sizes = np.array([len(p) // 4 for p in pool], np.int64)
+        sizes = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
         lengths = sizes[codes]
         ends = np.append(0, np.cumsum(lengths))
         at = np.repeat((np.cumsum(sizes) - sizes)[codes] - ends[:-1], lengths)
@@ -100,7 +103,8 @@ class Encoder:
         texts = [p.decode() for p in pieces]
         plain = [p for p, text in zip(pieces, texts) if _WORD.fullmatch(text)]
         groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        lines = [b"\n".join(g).decode("latin-1").translate(self.character) for g in groups]
+        spelt = lambda g: self.character[np.frombuffer(b"\n".join(g), np.uint8)].tobytes().decode("utf-32-le")
+        lines = [spelt(g) for g in groups]
         for group, found in zip(groups, self.of_words.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(found.ids, "<u4")
             stops = np.cumsum([*map(len, group)])
@@ -115,12 +119,15 @@ class Encoder:
         return encode_by_pieces(texts, self.whole, self.pieces, self.added)
 
 
-def _byte_characters() -> dict[int, str]:
-    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 characters stand for
+def _byte_characters() -> np.ndarray:
+    """The code point that stands for each byte in a byte-level vocabulary: printable Latin-1 characters stand for
     themselves and the others, in order, follow from U+0100. Line ends are left as they are."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     others = [b for b in range(256) if b not in own]
-    return {b: chr(0x100 + k) for k, b in enumerate(others) if b != 0x0A}
+    found = np.arange(256, dtype="<u4")
+    found[others] = 0x100 + np.arange(len(others))
+    found[0x0A] = 0x0A
+    return found
 
 
 def encoder(path: str) -> Encoder:
