@@ -10,8 +10,9 @@ Pre-tokens beyond ``LONGEST`` bytes would make a row whose rounds cost its lengt
 (least rank first, leftmost on ties) with a heap instead, so that nothing is cut. A pre-token that is itself in the
 vocabulary is its one id. Texts are cut as in ``tokens``; pieces are remembered in a bounded memo.
 
-Defined cases: a null text counts as empty: no ids, and the digests of no bytes; rows are independent, so ties and
-repeated rows need nothing; other columns are not read.
+Defined cases: a null text counts as empty: no ids, and the digests of no bytes; equal ranks inside a row go to the
+leftmost pair, and rows are independent, so repeated rows are encoded alike; a text of any length is a step of its own; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

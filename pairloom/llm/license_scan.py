@@ -13,7 +13,8 @@ votes and phrases stay in its row. Positions are looked at only in documents tha
 template or all words of a phrase.
 
 Defined cases: a null text counts as empty and has no words; an empty table gives no rows; rows are independent, so
-ties and repeated rows need nothing; the first of equally good places wins; other columns are not read.
+ties and repeated rows need nothing; the first of equally good places wins; texts of any length are scanned whole in their
+row; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ is packed by itself, so tasks and memory stay bounded whatever the input or its
 one sequence a group beside what the rule itself leaves open.
 
 Defined cases: a null text counts as empty and an empty one as the end id alone; rows with the same doc_id, or
-with none, are packed one by one; only the columns asked for are read, so others may have any name.
+with none, are packed one by one; pieces of equal size go by their place in the written table, and equally good gaps to the tightest; a
+text of any length is encoded whole by one task and then cut; an empty table gives no rows; only the columns asked for
+are read, so others may have any name.
 """
 
 from __future__ import annotations

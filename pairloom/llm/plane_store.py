@@ -16,14 +16,13 @@ which lets Spark commit, find and read them in any store and lets a lost task wr
 positions are partition totals (one row per partition) added up, plus local positions.
 
 Defined cases: a null text counts as empty; null doc_ids come first; rows with equal doc_id are ordered by a hash
-of the text and by the text; an empty table gives no shard and no row; other columns are not read.
+of the text and by the text; a text of any length is one document of one shard; an empty table gives no shard and no row;
+other columns are not read.
 """
 
 from __future__ import annotations
 
-import os
 import struct
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairloom.llm.common import crc32, steps
 from pairloom.llm.tokens import encoder
-from pairloom.session import shared_folder
+from pairloom.session import scratch_path
 
 #: Ids of a shard, beyond which the next document begins another one.
 SHARD_IDS = 1 << 22
@@ -217,4 +216,5 @@ def _decoded(spark: SparkSession, folder: str, column: str, value, kind: pa.Data
 
 
 def new_folder(spark: SparkSession) -> str:
-    return os.path.join(shared_folder(spark), f"pairloom-ids-{uuid.uuid4().hex}")
+    """A fresh folder for shards, which ``session.release`` deletes with the other tables."""
+    return scratch_path(spark)

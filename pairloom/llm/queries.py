@@ -21,8 +21,9 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_url_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page's URL judged by the rules its tokens fetch."""
-    return url_rules.judge(read(spark, folder, "pages")).drop("pattern")
+    """Every page's URL judged by the contract's rules and, where none fits, those of the module that its tokens fetch."""
+    listed = url_rules.parse_rules(spark.createDataFrame([(line,) for line in url_rules.RULE_LIST], "line string"))
+    return url_rules.judge(read(spark, folder, "pages"), listed=listed).drop("pattern")
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,6 +132,9 @@ ORACLE: dict[str, str] = {
         FROM urls JOIN rules ON (host = host_ OR ends_with(host, '.' || host_)) AND starts_with(path, path_)
         GROUP BY id)
       SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN
+          NOT regexp_matches(host || path, '^(?:[^/]*[.])?m[.].*/legal/|/print/manual/') AND
+          regexp_matches(host || path, '^m[.]|^amp[.]|/amp([^A-Za-z0-9_.%-]|$)|/print/|/feed([^A-Za-z0-9_.%-]|$)|/rss[.]xml$|/tag/.*/page/|'
+            '^(?:[^/]*[.])?archive[.].*/snapshot/|/cgi-bin/|/wp-login[.]php$|/wp-admin/') THEN 'block' WHEN
           regexp_matches(host || path, '^([^/]*[.-])?({_BAD_HOST})[.-]') OR
           regexp_matches(host || path, '/({_NO_CONTENT})([/.]|$)') THEN 'block' ELSE 'allow' END) AS verdict
       FROM urls LEFT JOIN fitting USING (id)""",

@@ -65,6 +65,60 @@ def test_rules_are_indexed_by_their_rarest_token(spark):
     assert url_rules.rarest_tokens(urls, rules) == ["es", "fr", ""]
 
 
+def fits_by_hand(line, target):
+    """Whether a line of a rule list fits, tried place by place without regular expressions."""
+    body = line[2:] if line.startswith("@@") else line
+    front = 2 if body.startswith("||") else int(body.startswith("|"))
+    back = body.endswith("|") and len(body) > front
+    core = body[front : len(body) - back]
+
+    def from_place(k, at):
+        if k == len(core):
+            return at == len(target) if back else True
+        if core[k] == "*":
+            return any(from_place(k + 1, x) for x in range(at, len(target) + 1))
+        if core[k] == "^":
+            here = at < len(target) and not (target[at].isascii() and target[at].isalnum()) and target[at] not in "_.%-"
+            return here and from_place(k + 1, at + 1) or at == len(target) and from_place(k + 1, at)
+        return at < len(target) and target[at] == core[k] and from_place(k + 1, at + 1)
+
+    host = target.split("/")[0]
+    starts = {0: range(len(target) + 1), 1: [0], 2: [0, *(i + 1 for i, c in enumerate(host) if c == ".")]}[front]
+    return any(from_place(0, at) for at in starts)
+
+
+def test_ten_thousand_listed_rules(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(4000)] + ["a", "b", "news", "shop"]
+    some = lambda n: [str(w) for w in rng.choice(words, n)]
+    shapes = ["||{}.com^", "||{}.{}.net/{}/", "/{}/{}.html|", "|{}.", "*/{}/*/{}/", "/{}-{}^", "@@||{}.com/{}/", "/{}$({})[", "{}*{}", "@@/{}^{}"]
+    lines = [shapes[i % len(shapes)].format(*some(3)) for i in range(10_000)] + ["! comment", "", "  ", None, "||", "|", "*b*|"]
+    urls = []
+    for i in range(250):
+        a, b, c, d = some(4)
+        urls.append((f"{a}.{b}.{['com', 'net'][i % 2]}", ["", "/", f"/{c}/{d}/x", f"/{c}/{d}.html", f"/{c}-{d}", f"/x/{c}$({d})[1]", f"/{c}/é/{d}/"][i % 7]))
+    for i in range(0, 10_000, 97):  # URLs that some rules fit
+        text = lines[i].removeprefix("@@").strip("|").replace("*", "/x/").replace("^", "/")
+        host, _, path = text.partition("/") if lines[i].startswith(("|", "@@|")) else ("h.org", "", text.lstrip("/"))
+        urls.append((host.strip(".") or "m", "/" + path))
+    pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(urls)], "page_id long, url string")
+    listed = url_rules.parse_rules(spark.createDataFrame([(x,) for x in lines], "line string"))
+    found = {r["page_id"]: r for r in url_rules.judge(pages, (), listed=listed).collect()}
+    usable = {x for x in lines if x and x.strip() and not x.startswith("!") and x.strip("|")}
+    fitted = 0
+    for i, (host, path) in enumerate(urls):
+        fits = [x for x in usable if fits_by_hand(x, host + path)]
+        best = min(fits, key=lambda x: (not x.startswith("@@"), -len(x.removeprefix("@@").strip("|"))), default=None)
+        fitted += best is not None
+        assert found[i]["verdict"] == ("allow" if best is None or best.startswith("@@") else "block"), (urls[i], fits)
+        assert (found[i]["pattern"] is None) == (best is None) and (best is None or found[i]["pattern"] in fits)
+    assert fitted > 100
+    held = spark.createDataFrame(urls, "host string, path string")
+    # A thousand rules hold no whole word and are tried on every URL; of the others a URL's words fetch a few.
+    fetched = url_rules.candidates(held, (), listed).groupBy("host", "path").agg({"name": "count"}).collect()
+    assert np.mean([r[2] for r in fetched]) < 1000 + 20
+
+
 # ------------------------------------------------------------------------------------ op3
 
 
