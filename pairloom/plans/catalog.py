@@ -19,7 +19,7 @@ from pairloom.functions.text import (
     strip_punctuation,
     token_set,
 )
-from pairloom.operators import blocking, clean, clusters, editjoin, evaluate, matching, profile, stored
+from pairloom.operators import blocking, clean, clusters, editjoin, evaluate, matching, profile, registry, stored
 from pairloom.plans import sweeps
 from pairloom.plans.tables import (
     BRANDS,
@@ -412,6 +412,16 @@ def block_sizes(spark, folder):
     return blocking.block_sizes(blocking.year_and_venue(_documents(spark, folder)))
 
 
+@query("block_by_name")
+def block_by_name(spark, folder):
+    """Parts under every blocking of the registry."""
+    asked = {
+        "initials_hash": (TEXTS,), "full_hash": (TEXTS,), "initials_ngrams": (2, TEXTS), "full_ngrams": (3, TEXTS), "lengths": (TEXTS,),
+        "named_lengths": (TEXTS,), "year_ranges": (), "year_and_publisher": (blocking.YEAR_BOUNDS, blocking.YEAR_LABELS, BRANDS), "year_and_venue": (),
+    }
+    return registry.compare_blockers(part_records(spark, folder), asked)
+
+
 @query("block_stats")
 def block_stats(spark, folder):
     return _shown(blocking.block_stats(blocking.initials_hash(part_records(spark, folder), TEXTS)))
@@ -594,6 +604,17 @@ def match_url_ratio_85(spark, folder):
     return _rounded(editjoin.similar_texts(pages.filter(first), pages.filter(~first), "url", 0.85))
 
 
+@query("match_by_similarity")
+def match_by_similarity(spark, folder):
+    """Part names matched by every similarity of the registry."""
+    sources = part_sources(spark, folder)
+    frames = [
+        _rounded(registry.match_by(*sources, "paper_title", name, 0.85)).select(F.lit(name).alias("similarity"), "rep1", "rep2", "n1", "n2", "sim")
+        for name in registry.SIMILARITIES
+    ]
+    return reduce(DataFrame.unionAll, frames)
+
+
 @query("class_members")
 def class_members(spark, folder):
     return matching.class_members(*document_sources(spark, folder), TITLE)
@@ -712,6 +733,15 @@ def unmatched_resolved(spark, folder):
     return clusters.resolved_records(records, title_clusters(spark, folder))
 
 
+@query("roundtrip_resolved")
+def roundtrip_resolved(spark, folder):
+    """Resolved entities written out and read back."""
+    path = scratch_path(spark)
+    found = unmatched_resolved(spark, folder)
+    writers.write_resolved(found, path)
+    return readers.read_scored_pairs(spark, path, found.schema)
+
+
 @query("evaluate_pairs")
 def evaluate_pairs(spark, folder):
     strict, loose = _strict_and_loose(spark, folder)

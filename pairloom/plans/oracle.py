@@ -417,13 +417,23 @@ def _match(expression: str, name: str = "value", table: str = DOCS) -> str:
 
 ORACLE["match_initials_hash"] = _match(f"md5({initials('paper_title')})")
 ORACLE["match_full_hash"] = _match("md5(author_names || paper_title)")
-ORACLE["match_initials_ngram_exact"] = f"""WITH {DOCS},
-  i AS (SELECT {initials_key(TEXTS)} AS key, side, "index" FROM docs),
-  k AS (SELECT md5(CASE WHEN length(key) < 2 THEN '' ELSE key END) AS value, side, "index" FROM i)
-  {matched('k', 'value')}"""
-ORACLE["match_full_ngram"] = _match(
-    """sha256('{"paper_title":' || to_json(CASE WHEN length(paper_title) < 3 THEN ''
-      ELSE paper_title END)::varchar || '}')"""
+
+
+def _match_grams(text: str, n: int, name: str) -> str:
+    """Records whose lists of n-grams are equal, list against list; ``name`` only names what is found."""
+    return f"""WITH {DOCS}, i AS (SELECT {text} AS key, side, "index" FROM docs),
+      k AS (SELECT {name} AS value, {grams('key', n)} AS list, side, "index" FROM i)
+      SELECT DISTINCT value, side, "index" FROM k WHERE list IN (
+        SELECT list FROM k WHERE side = 'a' INTERSECT SELECT list FROM k WHERE side = 'b')"""
+
+
+ORACLE["match_initials_ngram_exact"] = _match_grams(
+    initials_key(TEXTS), 2, "md5(CASE WHEN length(key) < 2 THEN '' ELSE key END)"
+)
+ORACLE["match_full_ngram"] = _match_grams(
+    "paper_title",
+    3,
+    """sha256('{"paper_title":' || to_json(CASE WHEN length(key) < 3 THEN '' ELSE key END)::varchar || '}')""",
 )
 ORACLE["match_length"] = _match(
     "'Lengths_' || length(author_names) || '_' || length(paper_title)", "blocking_key"
@@ -973,3 +983,58 @@ ORACLE["block_price_bins"] = """SELECT p_partkey AS label, count(*) AS customers
 ORACLE["match_stored_blocks"] = f"""WITH {DOCS}, k AS (SELECT md5({initials('paper_title')}) AS value, side, "index" FROM docs),
   sizes AS (SELECT value, count(*) FILTER (side = 'a') AS n1, count(*) FILTER (side = 'b') AS n2 FROM k GROUP BY value)
   SELECT DISTINCT value, side, "index", n1, n2 FROM k JOIN sizes USING (value) WHERE n1 > 0 AND n2 > 0"""
+
+
+def _edit_titles(threshold: float) -> str:
+    """Edit distance of sorted token lists without symbols or matrices: tokens that stay equal are a chain of common tokens,
+    and what lies between two of them costs the longer of both gaps. The cheapest chain is found from place to place."""
+    size = "(len(a) + len(b))"
+    return f"""WITH {TITLES}, {numbered('titles', ('paper_title',), {'s': tokens('paper_title')})}, {overlaps('ov', 's')},
+      pairs AS MATERIALIZED (SELECT x.rep1, y.rep2, x.n1, y.n2, list_sort(x.s) AS a, list_sort(y.s) AS b
+        FROM ov JOIN sets x ON x.id = i JOIN sets y ON y.id = j
+        WHERE greatest(len(x.s), len(y.s)) - o <= {1 - threshold} * (len(x.s) + len(y.s)) + 1e-9),
+      common AS MATERIALIZED (SELECT *, list_filter(range(1, len(a) + 1), lambda k: list_contains(b, a[k])) AS places FROM pairs),
+      chains AS MATERIALIZED (SELECT *, [0] || places || [len(a) + 1] AS p,
+        [0] || list_transform(places, lambda k: list_position(b, a[k])) || [len(b) + 1] AS q FROM common),
+      costs AS (SELECT *, list_reduce(list_transform(range(2, len(p) + 1), lambda k: [k::BIGINT]),
+        lambda cost, k: list_append(cost, list_min(list_transform(range(1, k[1]),
+          lambda m: cost[m] + greatest(p[k[1]] - p[m], q[k[1]] - q[m]) - 1))), [0::BIGINT])[-1] AS d FROM chains),
+      scored AS (SELECT rep1, rep2, n1, n2, 1 - d / {size} AS sim FROM costs)
+      SELECT rep1, rep2, n1, n2, round(sim, 6) AS sim FROM scored WHERE sim >= {threshold}"""
+
+
+ORACLE["baseline_edit_title_70"], ORACLE["baseline_edit_title_85"] = _edit_titles(0.7), _edit_titles(0.85)
+
+
+# ------------------------------------------------------------------------- registries, resolved entities
+
+ORACLE["roundtrip_resolved"] = ORACLE["unmatched_resolved"]
+_NAMED_KEYS = {
+    "initials_hash": initials_key(TEXTS),
+    "full_hash": "author_names || paper_title",
+    "initials_ngrams": initials_key(TEXTS),
+    "full_ngrams": " || chr(31) || ".join(f"array_to_string({grams(c, 3)}, chr(30))" for c in TEXTS),
+    "lengths": "length(author_names) || '_' || length(paper_title)",
+    "named_lengths": "length(author_names) || '_' || length(paper_title)",
+    "year_ranges": year_label("year"),
+    "year_and_venue": _YEAR_VENUE,
+}
+_KEYED = " UNION ALL ".join(f"SELECT '{name}' AS blocker, {key} AS k FROM parts" for name, key in _NAMED_KEYS.items())
+ORACLE["block_by_name"] = f"""WITH {PARTS}, {_PUBLISHED}, keyed AS ({_KEYED}
+    UNION ALL SELECT 'year_and_publisher', year_label || '-' || publisher FROM published),
+  sizes AS (SELECT blocker, k, count(*) AS n FROM keyed WHERE k IS NOT NULL GROUP BY ALL)
+  SELECT blocker, count(*) AS blocks, sum(n)::bigint AS records FROM sizes GROUP BY blocker"""
+
+
+def _by_similarity() -> str:
+    sims = {"jaccard": jaccard("x.s", "y.s"), "dice": dice("x.s", "y.s"), "edit": edit("x.s", "y.s"),
+            "ratio": "1 - levenshtein(x.paper_title, y.paper_title) / greatest(length(x.paper_title), length(y.paper_title))"}
+    scored = " UNION ALL ".join(
+        f"SELECT '{name}' AS similarity, x.rep1, y.rep2, x.n1, y.n2, {sim} AS sim FROM sets x, sets y WHERE x.n1 > 0 AND y.n2 > 0"
+        for name, sim in sims.items()
+    )
+    return f"""WITH {PARTS}, {numbered('parts', ('paper_title',), {'s': tokens('paper_title')})}, scored AS ({scored})
+      SELECT similarity, rep1, rep2, n1, n2, round(sim, 6) AS sim FROM scored WHERE sim >= 0.85"""
+
+
+ORACLE["match_by_similarity"] = _by_similarity()
