@@ -272,6 +272,27 @@ def test_license_scan(spark):
     assert license_scan.scan(tables.empty(spark)).count() == 0
 
 
+def test_every_template_is_found_in_its_notice(spark):
+    templates = license_scan.TEMPLATES
+    assert len(templates) >= 50
+    rows = []
+    for k, t in enumerate(templates):
+        parts = t.text.title().split()
+        rows.append((3 * k, f"Some prose, the first part. {' '.join(parts)}. More of it, and the end."))
+        rows.append((3 * k + 1, " ".join([*parts[: len(parts) // 2], "odd", "words", *parts[len(parts) // 2 :]])))
+        rows.append((3 * k + 2, " ".join(reversed(parts)) + " " + t.text + " " + t.text))
+    rows.append((9999, " ".join(t.text for t in templates)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = {w for t in templates for w in t.words}
+    counts = Counter(w for r in rows for w in set(found_phrases(r[1])[0]) & lexicon)
+    indexed = license_scan.index(templates, counts)
+    found = {r["doc_id"]: r for r in license_scan.scan(docs).collect()}
+    for doc_id, text in rows:
+        assert tuple(found[doc_id])[1:] == scanned(text, indexed), text
+        if doc_id % 3 == 0 and doc_id < 3 * len(templates):
+            assert templates[doc_id // 3].label in found[doc_id]["labels"].split(",")
+
+
 # ------------------------------------------------------------------------------------ op8
 
 
