@@ -10,7 +10,8 @@ SAMPLE = (
     "clean_text augment_title augment_compose filter_range_venue surrogate_ids prepare_records "
     "year_shape year_histogram block_initials_hash block_full_ngram3 block_two_level match_full_ngram "
     "match_counts baseline_jac_title_70 baseline_jac_85 baseline_exact_70 baseline_dice_chars_70 "
-    "baseline_edit_70 clusters_components clusters_first_fit evaluate_blocking sweep_columns"
+    "baseline_edit_70 clusters_components clusters_first_fit evaluate_blocking sweep_columns "
+    "roundtrip_raw_records match_url_ratio_85 block_year_bins block_by_name baseline_edit_title_85"
 ).split()
 
 
