@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_functions import python_scores
 
 from pairloom.functions.text import token_set
-from pairloom.operators import blocking, matching
+from pairloom.operators import blocking, matching, setjoin
 from pairloom.operators.setjoin import candidate_pairs, possible_pairs, ranked_sets
 
 RECORD = "index string, paper_title string, author_names string, year int, publication_venue string"
@@ -102,6 +102,19 @@ def test_frequent_tokens_lose_no_pair(sources, threshold, frequent):
     assert found >= set(brute(left_rows, right_rows, ["paper_title"], "jaccard", threshold))
 
 
+@pytest.mark.parametrize("threshold", [0.25, 0.4, 0.5, 0.6])
+@pytest.mark.parametrize("frequent", [0.5, 40.0])
+def test_combinations_lose_no_pair(spark, monkeypatch, threshold, frequent):
+    """Few tokens that nearly all sets hold: whatever two sets share is frequent."""
+    monkeypatch.setattr(setjoin, "COMBINED", 1e9)
+    rng = random.Random(11)
+    sides = [[(f"{s}{k}", sorted(rng.sample("abcdefghijkl", rng.randrange(1, 10)))) for k in range(60)] for s in "xy"]
+    ranked = ranked_sets(*[spark.createDataFrame(side, "id string, s array<string>") for side in sides], "s")
+    found = {tuple(r) for r in candidate_pairs(ranked, threshold, frequent=frequent).collect()}
+    expected = {(a, b) for a, x in sides[0] for b, y in sides[1] if len({*x} & {*y}) >= threshold * len({*x} | {*y})}
+    assert expected and found >= expected
+
+
 @pytest.mark.parametrize("threshold,need", [(0.7, 3), (0.85, 4)])
 def test_equal_records(sources, threshold, need):
     left_rows, left, right_rows, right = sources
