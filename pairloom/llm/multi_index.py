@@ -210,24 +210,36 @@ def nearest(
     partial_kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), _LIST]
 
     def reranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, held, cells = None, [], [], []
+        now, held = None, []
+        visited = np.zeros(cells, bool)
         for batch in batches:
+            blocks, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            edges = (np.flatnonzero(np.diff(blocks) | np.diff(asked.astype(np.int8))) + 1).tolist()
             out: list[list] = [[], [], [], [], [], []]
-            for block_, is_query, id_, vector, own, mark, times in zip(*(c.to_pylist() for c in batch.columns)):
-                if block_ != now:
-                    now, ids, held, cells = block_, [], [], []
-                if not is_query:
-                    ids.append(id_)
-                    held.append(vector)
-                    cells.append(own[0])
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                if a == b:
                     continue
-                if isinstance(held, list):  # all entries of the block have been read
-                    ids, held, cells = np.array(ids, np.int64), np.array(held, float).reshape(-1, dimensions), np.array(cells)
-                chosen = np.flatnonzero(np.isin(cells, own))
-                query = np.array(vector)
-                found = best(ids[chosen], held[chosen], query, top + 1)
-                for column, x in zip(out, (id_, mark, times, float((query * query).sum()), *found)):
-                    column.append(x)
+                part = batch.slice(a, b - a)
+                matrix, own = _matrix(part.column(3), dimensions), part.column(4)
+                if blocks[a] != now:
+                    now, held = blocks[a], []
+                if not asked[a]:
+                    held.append((part.column(2).to_numpy(), matrix, own.flatten().to_numpy()))
+                    continue
+                if len(held) > 1:  # all entries of the block have been read
+                    held = [tuple(np.concatenate(c) for c in zip(*held))]
+                if not held:
+                    continue
+                ids, vectors, at = held[0]
+                rows = zip(matrix, matrix @ vectors.T, *(part.column(k).to_pylist() for k in (2, 5, 6)))
+                for k, (query, rough, id_, mark, times) in enumerate(rows):
+                    wanted = own[k].values.to_numpy()
+                    visited[wanted] = True
+                    chosen = np.flatnonzero(visited[at])
+                    visited[wanted] = False
+                    found = best(ids, vectors, query, top + 1, rough, chosen)
+                    for column, x in zip(out, (id_, mark, times, float((query * query).sum()), *found)):
+                        column.append(x)
             if out[0]:
                 arrays = [pa.array(c, k) for c, k in zip(out, partial_kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in partial.split(", ")])
@@ -236,15 +248,18 @@ def nearest(
     return found.mapInArrow(lambda batches: _merged(batches, top), result)
 
 
-def best(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, top: int) -> tuple[list[int], list[float]]:
-    """The ``top`` ids of largest inner product, ties to the smaller id."""
-    rough = vectors @ query
-    if len(rough) > top:
+def best(
+    ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, top: int, rough: np.ndarray | None = None, chosen: np.ndarray | None = None
+) -> tuple[list[int], list[float]]:
+    """The ``top`` ids of largest inner product among the ``chosen`` places, ties to the smaller id; ``rough`` are the products up
+    to rounding."""
+    rough = vectors @ query if rough is None else rough
+    chosen = np.arange(len(ids)) if chosen is None else chosen
+    if len(chosen) > top:
         # Sums of equal vectors may differ in their last bits here, so what is close to the limit stays in.
-        limit = np.partition(rough, -top)[-top]
-        near = np.flatnonzero(rough >= limit - 1e-9 * max(1.0, abs(limit)))
-        ids, vectors = ids[near], vectors[near]
-    scores = (vectors * query).sum(axis=1)
+        limit = np.partition(rough[chosen], -top)[-top]
+        chosen = chosen[rough[chosen] >= limit - 1e-9 * max(1.0, abs(limit))]
+    ids, scores = ids[chosen], (vectors[chosen] * query).sum(axis=1)
     order = np.lexsort((ids, -scores))[:top]
     return ids[order].tolist(), scores[order].tolist()
 
