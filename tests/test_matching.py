@@ -218,3 +218,49 @@ def test_neighbouring_tokens_lose_no_pair(spark, threshold):
         pairs = possible_pairs(candidate_pairs(ranked, threshold, frequent=frequent), ranked, threshold)
         assert {tuple(r) for r in pairs.collect()} >= expected
     assert len(expected) > 100
+
+
+def test_records_of_few_values_are_joined_by_value(spark, monkeypatch):
+    """Where every column has to be similar, records with equal values in one column alone are no candidates."""
+    rng = random.Random(5)
+    make = lambda prefix, venue: [
+        (f"{prefix}{i}", f"big bolt no{rng.randrange(3)}", f"t{rng.randrange(30)} x", 1990 + rng.randrange(2), venue) for i in range(60)
+    ]
+    rows = make("l", "one"), make("r", "two")
+    left, right = (spark.createDataFrame(r, RECORD) for r in rows)
+    seen = []
+    reach = matching._within_reach
+    monkeypatch.setattr(matching, "_within_reach", lambda pairs, *rest: seen.append(pairs.count()) or reach(pairs, *rest))
+    options = {"single": ["year", "publication_venue"], "measure": "edit", "order": ["author_names", "paper_title", "year", "publication_venue"]}
+    pairs = matching.similar_records(left, right, ["author_names", "paper_title"], 0.85, **options)
+    expected = brute(*rows, options["order"], "edit", 0.85)
+    assert expected and listed(pairs, left, right, ["author_names", "paper_title", "year", "publication_venue"]) == expected
+    assert sum(seen) < 4 * len(expected)
+
+
+@pytest.mark.parametrize("measure,threshold", [("jaccard", 0.7), ("dice", 0.7), ("edit", 0.85)])
+def test_fingerprints_lose_no_pair(spark, monkeypatch, measure, threshold):
+    """Sets larger than the number of fingerprints, so that many items share one."""
+    monkeypatch.setattr(matching, "fingerprints", lambda items: F.array_distinct(F.transform(items, lambda i: (F.pmod(F.xxhash64(i), F.lit(7))).cast("short"))))
+    rng = random.Random(8)
+    rows = [[(f"{s}{i}", " ".join(rng.sample("abcdefghijklmnop", 14)), "", 1, "") for i in range(30)] for s in "lr"]
+    left, right = (spark.createDataFrame(r, RECORD) for r in rows)
+    pairs = matching.similar_records(left, right, ["paper_title"], threshold, measure=measure)
+    assert listed(pairs, left, right, ["paper_title"]) == brute(*rows, ["paper_title"], measure, threshold)
+
+
+def test_pairs_are_verified_from_few_candidates(spark, monkeypatch):
+    """Long texts fill the bitmaps, which then rule out nothing: whole sets move for pairs within reach only."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(9000)]
+    base = rng.sample(words, 3000)
+    text = lambda share: " ".join(base[: int(3000 * share)] + rng.sample(words, 3000 - int(3000 * share)))
+    rows = [[(f"{s}{i}", text(0.45), "", 1, "") for i in range(12)] + [(f"{s}x", " ".join(base), "", 1, "")] for s in "lr"]
+    left, right = (spark.createDataFrame(r, RECORD) for r in rows)
+    kept = []
+    reach = matching._within_reach
+    monkeypatch.setattr(matching, "_within_reach", lambda *args: kept.append(reach(*args)) or kept[-1])
+    pairs = matching.similar_records(left, right, ["paper_title"], 0.7, measure="dice")
+    expected = brute(*rows, ["paper_title"], "dice", 0.7)
+    assert listed(pairs, left, right, ["paper_title"]) == expected
+    assert kept[0].count() <= len(expected) + 10
