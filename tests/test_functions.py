@@ -142,3 +142,19 @@ def test_edit_similarity_of_many_tokens(spark, size):
     df = spark.createDataFrame([(names, other)], "a array<string>, b array<string>")
     score = df.select(similarity.edit_tokens(F.col("a"), F.col("b"), 0.99)).first()[0]
     assert score == pytest.approx(1 - 3 / (2 * size), abs=1e-12)
+
+
+def test_augmentations_that_begin_alike_are_shared(spark):
+    chosen = [("lower",), ("identity", "lower"), ("lower", "title"), ("lower", "title", "reverse"), ("identity",), ("upper", "lower")]
+    df = spark.createDataFrame([("Straße o'NEIL a\tb",), ("",), (None,)], "s string")
+    made, found = text.with_augmented(df, "s", chosen)
+    got = made.select(*[found[c].alias(str(k)) for k, c in enumerate(chosen)]).collect()
+    assert got == df.select(*[text.augment(F.col("s"), c).alias(str(k)) for k, c in enumerate(chosen)]).collect()
+    # One column for the text and one for each distinct beginning.
+    assert len(made.columns) == 1 + 6
+
+
+def test_title_case_of_other_symbols(spark):
+    """A lower-case symbol that is no letter has a capital where it begins a run of others."""
+    df = spark.createDataFrame([("abⓐc ⓐ d-ⅰ",)], "s string")
+    assert df.select(text.title_case(F.col("s"))).first()[0] == "AbⒶC ⓐ D-ⅰ"

@@ -102,3 +102,17 @@ def test_replicate(spark):
     assert rows == {(0, "1", "t"), (1, "1-1", "t 1"), (2, "1-2", "t 2")}
     with pytest.raises(ValueError):
         sweeps.replicate(df, 0)
+
+
+def test_replication_sweep_counts_every_copy(spark):
+    from pairloom.plans import sweeps
+
+    left = spark.createDataFrame([("1", "big red"), ("2", None), ("3", ""), ("4", "other")], "index string, paper_title string")
+    right = spark.createDataFrame([("5", "blue rose"), ("6", None), ("7", "big red 1")], "index string, paper_title string")
+    # Keys of copy r: own initials and the first character of r; missing and empty texts have that alone.
+    keys = lambda own, r: [(o or "") + str(r)[:1] if r else o for o in own if r or o is not None]
+    got = {r.factor: (r.records, int(r.matches)) for r in sweeps.replication_sweep(left, right, 12).collect()}
+    for most in range(1, 13):
+        ones = [k for r in range(most) for k in keys(["br", None, "", "o"], r)]
+        twos = [k for r in range(most) for k in keys(["br", None, "br1"], r)]
+        assert got[most] == (len(ones) + len(twos), sum(a == b for a in ones for b in twos))
