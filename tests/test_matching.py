@@ -265,3 +265,22 @@ def test_pairs_are_verified_from_few_candidates(spark, monkeypatch):
     expected = sorted((a, b) for (a, x), (b, y) in product(*sets) if 2 * len(x & y) >= 0.7 * (len(x) + len(y)))
     assert expected and listed(pairs, left, right, ["paper_title"]) == expected
     assert kept[0].count() <= len(expected) + 10
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_tokens_that_share_a_place_lose_no_pair(spark, monkeypatch, threshold):
+    """Eight places for all tokens; sets stay where they are while they are ranked."""
+    monkeypatch.setattr(setjoin, "PLACES", 3)
+    plans = []
+    write = setjoin.write_through
+    monkeypatch.setattr(setjoin, "write_through", lambda df: plans.append(df._jdf.queryExecution().toString()) or write(df))
+    rng = random.Random(3)
+    near = lambda: [f"t{i}" for i in range(12) if rng.random() > 0.15] + [f"u{rng.randrange(9)}"]
+    sides = [[(f"{s}{k}", near() if k % 2 else rng.sample([f"t{i}" for i in range(25)], rng.randrange(0, 12))) for k in range(80)] for s in "xy"]
+    ranked = ranked_sets(*[spark.createDataFrame(side, "id string, s array<string>") for side in sides], "s")
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    expected = {(a, b) for a, x in sides[0] for b, y in sides[1] if {*x} & {*y} and len({*x} & {*y}) >= threshold * len({*x} | {*y})}
+    for frequent in (3, 1000):
+        pairs = possible_pairs(candidate_pairs(ranked, threshold, frequent=frequent), ranked, threshold)
+        assert {tuple(r) for r in pairs.collect()} >= expected
+    assert expected
