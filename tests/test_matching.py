@@ -1,3 +1,4 @@
+import os
 import random
 from itertools import product
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_functions import python_scores
 
+from pairloom import session
 from pairloom.functions.text import token_set
 from pairloom.operators import blocking, matching, setjoin
 from pairloom.operators.setjoin import candidate_pairs, possible_pairs, ranked_sets
@@ -284,3 +286,38 @@ def test_tokens_that_share_a_place_lose_no_pair(spark, monkeypatch, threshold):
         pairs = possible_pairs(candidate_pairs(ranked, threshold, frequent=frequent), ranked, threshold)
         assert {tuple(r) for r in pairs.collect()} >= expected
     assert expected
+
+
+@pytest.mark.parametrize("measure,threshold", [("jaccard", 0.5), ("dice", 0.85)])
+def test_slices_lose_no_pair_and_leave_nothing(sources, spark, monkeypatch, tmp_path, measure, threshold):
+    """Many slices give all pairs, and of all tables only the sets, two lists of pairs and no shuffle files stay."""
+    monkeypatch.setattr(setjoin, "FEW", 20)
+    monkeypatch.setattr(setjoin, "MEETINGS", 0)
+    monkeypatch.setattr(matching, "FEW", 20)
+    monkeypatch.setattr(matching, "AT_A_TIME", 0)
+    monkeypatch.setattr(setjoin, "COUNTED", 1)
+    monkeypatch.setattr(session, "_written", {})
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    counts = []
+    slices = setjoin._slices
+    monkeypatch.setattr(setjoin, "_slices", lambda *args: counts.append(slices(*args)) or counts[-1])
+    before = spark.conf.get("spark.sql.parquet.compression.codec")
+    left_rows, left, right_rows, right = sources
+    pairs = matching.similar_records(left, right, ["paper_title"], threshold, measure=measure)
+    assert len(os.listdir(tmp_path)) == 3 and spark.conf.get("spark.sql.parquet.compression.codec") == before
+    assert listed(pairs, left, right, ["paper_title"]) == brute(left_rows, right_rows, ["paper_title"], measure, threshold)
+    assert counts[0] > 3
+    session.release(spark)
+    assert len(os.listdir(tmp_path)) == 0
+
+
+def test_a_step_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_written", {})
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    shuffles = lambda: spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    before = shuffles()
+    with session.step(spark) as keep:
+        session.write_through(spark.range(50).repartition(5, "id"))
+        kept = keep(spark.range(30).repartition(3, "id"), spark.range(5))
+    assert shuffles() <= before and len(os.listdir(tmp_path)) == 1 and kept.count() == 35
+    session.release(spark)
