@@ -321,3 +321,33 @@ def test_a_step_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
         kept = keep(spark.range(30).repartition(3, "id"), spark.range(5))
     assert shuffles() <= before and len(os.listdir(tmp_path)) == 1 and kept.count() == 35
     session.release(spark)
+
+
+def test_pairs_are_verified_in_turns(spark, monkeypatch, tmp_path):
+    """Whole sets move for the pairs of one turn; what is given is written, and shuffles none of them again."""
+    monkeypatch.setattr(matching, "FEW", 20)
+    monkeypatch.setattr(matching, "AT_A_TIME", 0)
+    monkeypatch.setattr(session, "_written", {})
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    rows = [[(f"{s}{i}", " ".join(rng.sample(words, rng.randrange(6, 12))), "", 1, "") for i in range(40)] for s in "lr"]
+    left, right = (spark.createDataFrame(r, RECORD) for r in rows)
+    turns, write = [], session.write_through
+    monkeypatch.setattr(session, "write_through", lambda *parts: turns.append(len(parts)) or write(*parts))
+    pairs = matching.similar_records(left, right, ["paper_title"], 0.7)
+    expected = brute(*rows, ["paper_title"], "jaccard", 0.7)
+    assert turns[-1] > 3 and "Join" not in pairs._jdf.queryExecution().toString()
+    assert expected and listed(pairs, left, right, ["paper_title"]) == expected
+    session.release(spark)
+    assert os.listdir(tmp_path) == []
+
+
+def test_a_discarded_table_is_gone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_written", {})
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    one, two = session.write_through(spark.range(5)), session.write_through(spark.range(7))
+    session.discard(one)
+    assert len(os.listdir(tmp_path)) == 1 and two.count() == 7
+    session.release(spark)
+    assert os.listdir(tmp_path) == []
